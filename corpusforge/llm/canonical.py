@@ -119,7 +119,7 @@ def canonical_text(df: DataFrame, text_col: str = "text", out_col: str = "canoni
         for b in batches:
             part = pa.table({"k": pa.array(range(b.num_rows), pa.int64()), "text": b.column(at).cast(pa.string())})
             con.register("batch", part)
-            got = con.execute(sql).to_arrow_table().combine_chunks()
+            got = con.sql(sql).to_arrow_table().combine_chunks()
             con.unregister("batch")
             text = got.column("text").combine_chunks().cast(pa.string()) if b.num_rows else pa.array([], pa.string())
             changed = got.column("changed").combine_chunks() if b.num_rows else pa.array([], pa.bool_())
