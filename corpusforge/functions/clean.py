@@ -81,7 +81,7 @@ def tei_running_text(c: Column) -> Column:
     """Running text of the diplomatic readings in the body of a TEI file; an empty string where there is no body."""
     body = F.lit("")
     for tag in ("tei:body", "body"):
-        found = F.regexp_extract(c, F.lit(f"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+        found = F.regexp_extract(c, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
         body = F.when(found != "", found).otherwise(body)
     body = _sub(body, r"<me:dipl\s*/>", "")
     words = F.transform(F.regexp_extract_all(body, F.lit("(?s)<me:dipl[^>]*>(.*?)</me:dipl>"), F.lit(1)), plain_markup)
@@ -128,7 +128,7 @@ def peel_tokens(c: Column) -> Column:
     """Tokens of a sentence: chunks between blanks with the punctuation at their ends set apart."""
     chunks = F.filter(F.split(c, f"{WS}+"), lambda x: x != "")
     shape = f"^({PUNCT_LEAD}*)(.*?)({PUNCT_TRAIL}*)$"
-    one = lambda x, k: F.regexp_extract(x, F.lit("(?s)" + shape), F.lit(k))
+    one = lambda x, k: F.regexp_extract(x, "(?s)" + shape, k)
     signs = lambda s: F.filter(F.split(s, ""), lambda y: y != "")
     return F.flatten(F.transform(chunks, lambda x: F.concat(signs(one(x, 1)), F.filter(F.array(one(x, 2)), lambda y: y != ""), signs(one(x, 3)))))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusforge.functions.similarity import jaro
 
-LIMIT = 2_000  # names compared all with all in one task; larger types are cut into blocks first
+LIMIT = 1_000  # names compared all with all in one task; larger types are cut into blocks first
 
 
 def levenshtein(a: str, b: str) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusforge.plans import rejects
+from corpusforge.plans import names, rejects, text, tokens
 
-QUERIES = {**rejects.QUERIES}
-ORACLES = {**rejects.ORACLES}
+QUERIES = {**text.QUERIES, **tokens.QUERIES, **names.QUERIES, **rejects.QUERIES}
+ORACLES = {**text.ORACLES, **tokens.ORACLES, **names.ORACLES, **rejects.ORACLES}
