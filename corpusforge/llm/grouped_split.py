@@ -14,16 +14,19 @@ NO_EDITOR = ("", "null", "N. N.")
 def person_names(tokens: DataFrame, least: int = 3) -> DataFrame:
     """(source, name): token sequences B-Person I-Person ... of `least` or more tokens, as they stand.
 
-    Places delivered again count once. A sequence with a null token names nobody. The name is a digest-free exact key:
-    the tokens joined by a control character.
+    Places delivered again count once. A sequence with a null token names nobody, nor does one broken by a missing place
+    (tok_id counts without gaps). Only tokens labelled as persons are shuffled. The name is the tokens joined by a
+    control character.
     """
-    t = tokens.where("source is not null and sent_id is not null").groupBy("sent_id", "tok_id").agg(F.min("source").alias("source"), F.min("token").alias("token"), F.min("label").alias("label"))
+    t = tokens.where("source is not null and sent_id is not null and label in ('B-Person', 'I-Person')")
+    t = t.groupBy("sent_id", "tok_id").agg(F.min("source").alias("source"), F.min("token").alias("token"), F.min("label").alias("label"))
     w = Window.partitionBy("sent_id").orderBy("tok_id")
-    t = t.withColumn("island", F.sum(F.when(F.col("label") == "I-Person", 0).otherwise(1)).over(w)).where("label in ('B-Person', 'I-Person')")
+    goes_on = (F.col("label") == "I-Person") & (F.lag("tok_id").over(w) == F.col("tok_id") - 1)
+    t = t.withColumn("island", F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(w))
     runs = t.groupBy("sent_id", "island").agg(
-        F.min("source").alias("source"), F.count(F.lit(1)).alias("n"), F.count("token").alias("known"),
-        F.max((F.col("label") == "B-Person").cast("int")).alias("begins"), F.array_sort(F.collect_list(F.struct("tok_id", "token"))).alias("w"))
-    runs = runs.where((F.col("begins") == 1) & (F.col("n") >= least) & (F.col("known") == F.col("n")))
+        F.min("source").alias("source"), F.count(F.lit(1)).alias("n"), F.count("token").alias("known"), F.min_by("label", "tok_id").alias("begins"),
+        F.array_sort(F.collect_list(F.struct("tok_id", "token"))).alias("w"))
+    runs = runs.where((F.col("begins") == "B-Person") & (F.col("n") >= least) & (F.col("known") == F.col("n")))
     return runs.select("source", F.array_join(F.transform("w", lambda x: x["token"]), "\x1f").alias("name")).distinct()
 
 
