@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusforge.functions.clean import markup_key
 
 #: What is no printable character; fixed value.
-UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
+UNPRINTABLE = r"[\x{FFFD}\p{C}\p{Z}&&[^ ]]"
 
 
 def invalid_characters(df: DataFrame, id_col: str, text_col: str = "text", around: int = 20) -> DataFrame:

@@ -205,7 +205,7 @@ def boundary_verify(spark: SparkSession, d: str) -> DataFrame:
     return spans.boundary_differences(spans.word_spans(t, "doc_id", "text"), t, "doc_id", "text")
 
 
-_BAD = r"[\p{C}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+_BAD = r"[\x{FFFD}\p{C}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 
 
 @query(f"""with l as (select doc_id, unnest({_lines('text')}) as t, generate_subscripts({_lines('text')}, 1) as line from documents),
