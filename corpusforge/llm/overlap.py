@@ -5,7 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
 from corpusforge.runtime import cut
 
@@ -51,7 +52,7 @@ def sentences(tokens: DataFrame, sent: str = "sent_id", tok: str = "tok_id", tok
     """(sent_id, split, source, words, n, text_id): one row per sentence with its plain tokens in order.
 
     Tokens delivered again (same sentence and place) count once; null tokens are left out. Sentences of which the split
-    is neither train, dev nor test are left out. text_id is a digest of the plain tokens: equal for equal sentences.
+    is neither train, dev nor test are left out. text_id is a digest (16 bytes) of the plain tokens: equal for equal sentences.
     """
     t = tokens.where(F.col(split).isin("train", "dev", "test") & F.col(sent).isNotNull())
     places = F.array_sort(F.collect_set(F.struct(F.col(tok).alias("i"), F.col(token).alias("t"))))
@@ -76,7 +77,26 @@ def sentences(tokens: DataFrame, sent: str = "sent_id", tok: str = "tok_id", tok
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(pa.string()))], names=["sent_id", "split", "source", "words"])
 
     s = s.mapInArrow(run, "sent_id long, split string, source string, words array<string>")
-    return s.withColumn("n", F.size("words")).withColumn("text_id", F.md5(F.array_join("words", "\x1f")))
+    return s.withColumn("n", F.size("words")).withColumn("text_id", F.unhex(F.md5(F.array_join("words", "\x1f"))))
+
+
+def _shingles(batches):
+    """Per text its distinct pairs of neighbouring tokens (hashed) with first and last place and number."""
+    kind = pa.list_(pa.struct([("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("times", pa.int32())]))
+    for b in batches:
+        out = []
+        for words in b.column("words").to_pylist():
+            seen: dict = {}
+            for i in range(len(words) - 1):
+                w = f"{words[i]}\x1f{words[i + 1]}"
+                x = seen.get(w)
+                if x is None:
+                    seen[w] = [i, i, 1]
+                else:
+                    x[1], x[2] = i, x[2] + 1
+            out.append([{"g": xxhash.xxh64_intdigest(w) - (1 << 63), "lo": lo, "hi": hi, "times": k} for w, (lo, hi, k) in seen.items()])
+        n = pa.array([len(w) for w in b.column("words").to_pylist()], pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("text_id"), n, b.column("in_train"), b.column("in_eval"), pa.array(out, kind)], names=["text_id", "n", "in_train", "in_eval", "x"])
 
 
 def class_pairs(sents: DataFrame, min_tokens: int = MIN_TOKENS, most: int = MAX_EDITS) -> DataFrame:
@@ -92,9 +112,8 @@ def class_pairs(sents: DataFrame, min_tokens: int = MIN_TOKENS, most: int = MAX_
     texts = sents.where(F.col("n") >= min_tokens).groupBy("text_id").agg(
         F.first("words").alias("words"), F.max((F.col("split") == "train").cast("int")).alias("in_train"), F.max((F.col("split") != "train").cast("int")).alias("in_eval"))
     texts = cut(texts)
-    grams = texts.select("text_id", F.size("words").alias("n"), "in_train", "in_eval",
-                         F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1)))).alias("at", "g"))
-    grams = grams.groupBy("text_id", "n", "in_train", "in_eval", "g").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("times"))
+    grams = texts.mapInArrow(_shingles, "text_id binary, n int, in_train int, in_eval int, x array<struct<g: bigint, lo: int, hi: int, times: int>>")
+    grams = grams.select("text_id", "n", "in_train", "in_eval", F.explode("x").alias("x")).select("text_id", "n", "in_train", "in_eval", "x.*")
     often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     k = 2 * most + 1
     rare = F.sort_array(F.collect_list(F.struct("df", "g", "lo", "hi", "times")))
@@ -115,7 +134,7 @@ def class_pairs(sents: DataFrame, min_tokens: int = MIN_TOKENS, most: int = MAX_
             ok = [edits_within(x, y, most) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select(["train_text", "eval_text"]).filter(pa.array(ok, pa.bool_()))
 
-    return cand.select("train_text", "eval_text", "a", "b").mapInArrow(verify, "train_text string, eval_text string")
+    return cand.select("train_text", "eval_text", "a", "b").mapInArrow(verify, "train_text binary, eval_text binary")
 
 
 def linked_texts(sents: DataFrame, min_tokens: int = MIN_TOKENS, most: int = MAX_EDITS) -> DataFrame:
