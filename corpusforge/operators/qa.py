@@ -36,3 +36,10 @@ def mismatches(texts: DataFrame, entities: DataFrame, id_col: str) -> DataFrame:
 def leading_blanks(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Lines that begin with a blank."""
     return df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line", "t")).where(F.col("t").rlike(r"^[\x09-\x0d\x1c-\x20\x{85}\p{Z}]")).select(id_col, "line")
+
+
+def sample_places(df: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """Of rows numbered from 0 in each group the first, those at a quarter and at half, and the last, to look at."""
+    n = df.groupBy(*keys).agg((F.max(number) + 1).alias("_n"))
+    at = F.array(F.lit(0).cast("long"), F.floor(F.col("_n") / 4), F.floor(F.col("_n") / 2), F.col("_n") - 1)
+    return df.join(n, keys).where(F.array_contains(at, F.col(number).cast("long"))).drop("_n")
