@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusforge.operators.components import components
@@ -48,34 +50,97 @@ def tied_sources(tokens: DataFrame, works: DataFrame) -> DataFrame:
     return a.join(b, "component").where("source_a < source_b").select("source_a", "source_b")
 
 
-def allot(bundles: list[tuple[int, int]], shares: dict[str, float]) -> list[dict[str, int]]:
-    """For bundles (size of a component, number of such components), how many go to each split.
-
-    Min-cost flow in rows: bundle -> split -> sink, where a split takes its quota free of cost and more at a cost of 1 a
-    row, and a component longer than a quota pays for what exceeds it. With these convex costs the cheapest augmenting
-    path always leads to the split with most room left, so bundles are sent longest first along such paths; parts of
-    components are rounded to whole ones, the rest again by room left.
+def min_cost_flow(n_nodes: int, arcs: list[tuple[int, int, float, float]], source: int, sink: int) -> list[float]:
+    """Flow on each arc (from, to, capacity, cost) of a cheapest maximal flow, by successive shortest paths."""
+    to, cap, cost, out = [], [], [], [[] for _ in range(n_nodes)]
+    for u, v, c, w in arcs:
+        for x, y, k, m in ((u, v, c, w), (v, u, 0.0, -w)):
+            out[x].append(len(to))
+            to.append(y)
+            cap.append(k)
+            cost.append(m)
+    while True:
+        dist, via = [float("inf")] * n_nodes, [-1] * n_nodes
+        dist[source], queue, waiting = 0.0, deque([source]), {source}
+        while queue:
+            u = queue.popleft()
+            waiting.discard(u)
+            for e in out[u]:
+                if cap[e] > 1e-9 and dist[u] + cost[e] < dist[to[e]] - 1e-12:
+                    dist[to[e]], via[to[e]] = dist[u] + cost[e], e
+                    if to[e] not in waiting:
+                        queue.append(to[e])
+                        waiting.add(to[e])
+        if via[sink] < 0:
+            return [cap[2 * i + 1] for i in range(len(arcs))]
+        path, v = [], sink
+        while v != source:
+            path.append(via[v])
+            v = to[via[v] ^ 1]
+        step = min(cap[e] for e in path)
+        for e in path:
+            cap[e] -= step
+            cap[e ^ 1] += step
+
+
+def allot(bundles: list[tuple[int, int, object]], shares: dict[str, float]) -> list[dict[str, int]]:
+    """For bundles (size of a component, number of such components, label profile), how many go to each split.
+
+    Min-cost flow in rows: source -> profile -> split -> sink. A profile sends a split its share of the profile's rows free of
+    cost and more at a cost of 1 a row; a split takes its quota free of cost and more at a cost of 3 a row. Components longer
+    than the smallest quota are set first, where most room is, and use up the quota there. The flow is rounded to whole
+    components, the longest first; what is left of a bundle goes where the flow of its profile, and then the quota, leaves
+    most room.
     """
-    total = sum(s * n for s, n in bundles)
+    total = sum(s * n for s, n, _ in bundles)
+    names = list(shares)
     room = {k: v * total for k, v in shares.items()}
-    plan: list[dict[str, int]] = [dict.fromkeys(shares, 0) for _ in bundles]
-    for i in sorted(range(len(bundles)), key=lambda i: (-bundles[i][0], i)):
-        size, n = bundles[i]
-        open_ = sum(max(0.0, r) for r in room.values())
-        for k in shares:
-            m = min(n, int(n * max(0.0, room[k]) / open_)) if open_ > 0 and room[k] >= size else 0
-            plan[i][k] += m
-        left = n - sum(plan[i].values())
-        for k in shares:
-            room[k] -= plan[i][k] * size
-        while left:
-            k = max(room, key=lambda k: (room[k], k))
-            # give as many as keep this split the one with most room
-            second = max((room[j] for j in room if j != k), default=float("-inf"))
-            m = max(1, min(left, int((room[k] - second) // size))) if second > float("-inf") else left
+    least = min(room.values(), default=0)
+    plan: list[dict[str, int]] = [dict.fromkeys(names, 0) for _ in bundles]
+    order = sorted(range(len(bundles)), key=lambda i: (-bundles[i][0], i))
+    rest = []
+    for i in order:
+        size, n, _ = bundles[i]
+        if size <= least:
+            rest.append(i)
+            continue
+        for _ in range(n):  # fewer than the number of splits over the smallest share
+            k = max(names, key=lambda k: room[k])
+            plan[i][k] += 1
+            room[k] -= size
+    rows: dict = {}
+    for i in rest:
+        rows[bundles[i][2]] = rows.get(bundles[i][2], 0) + bundles[i][0] * bundles[i][1]
+    profiles = list(rows)
+    source, sink, first = 0, 1, 2
+    split_at = {k: first + len(profiles) + j for j, k in enumerate(names)}
+    arcs, at = [], {}
+    for j, p in enumerate(profiles):
+        arcs.append((source, first + j, rows[p], 0.0))
+        for k in names:
+            at[p, k] = len(arcs)
+            arcs += [(first + j, split_at[k], shares[k] * rows[p], 0.0), (first + j, split_at[k], float(total), 1.0)]
+    for k in names:
+        arcs += [(split_at[k], sink, max(0.0, room[k]), 0.0), (split_at[k], sink, float(total), 3.0)]
+    flow = min_cost_flow(first + len(profiles) + len(names), arcs, source, sink)
+    wish = {pk: flow[e] + flow[e + 1] for pk, e in at.items()}
+    for i in rest:
+        size, n, p = bundles[i]
+        left = n
+        for k in names:
+            m = min(left, int((wish[p, k] + 1e-6) // size)) if wish[p, k] > 0 else 0
+            share = int(n * max(0.0, wish[p, k]) / max(1e-9, sum(max(0.0, wish[p, j]) for j in names)))
+            m = min(m, share)
             plan[i][k] += m
-            room[k] -= m * size
             left -= m
+        for k in names:
+            wish[p, k] -= plan[i][k] * size
+            room[k] -= plan[i][k] * size
+        for _ in range(left):  # fewer than there are splits, but for rounding
+            k = max(names, key=lambda k: (min(wish[p, k], 0.0) + min(room[k], 0.0), wish[p, k] + room[k], k))
+            plan[i][k] += 1
+            wish[p, k] -= size
+            room[k] -= size
     return plan
 
 
@@ -98,7 +163,7 @@ def grouped_split(tokens: DataFrame, works: DataFrame, shares: dict[str, float]
     whole = cut(whole.select("component", "size", level("per").alias("per"), level("loc").alias("loc")))
     bundles = [tuple(r) for r in whole.groupBy("size", "per", "loc").count().collect()]
     bundles.sort()
-    plan = allot([(s, n) for s, _, _, n in bundles], shares)
+    plan = allot([(s, n, (p, l)) for s, p, l, n in bundles], shares)
     rows, names = [], list(shares)
     for (s, p, l, _), m in zip(bundles, plan):
         at = 0

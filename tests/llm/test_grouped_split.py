@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusforge.llm.grouped_split import allot, grouped_split, person_names, tied_sources
+from corpusforge.llm.grouped_split import allot, grouped_split, min_cost_flow, person_names, tied_sources
 
 
 def data(spark, seed=2):
@@ -82,15 +82,27 @@ def test_split_parts_nothing(spark):
 
 def test_shares_are_met():
     rng = random.Random(4)
-    bundles = [(rng.randint(1, 30), rng.randint(1, 40)) for _ in range(200)]
+    bundles = [(rng.randint(1, 30), rng.randint(1, 40), rng.randint(0, 9)) for _ in range(200)]
     shares = {"train": 0.8, "dev": 0.1, "test": 0.1}
     plan = allot(bundles, shares)
-    total = sum(s * n for s, n in bundles)
-    assert [sum(p.values()) for p in plan] == [n for _, n in bundles]
+    total = sum(s * n for s, n, _ in bundles)
+    assert [sum(p.values()) for p in plan] == [n for _, n, _ in bundles]
     for k, v in shares.items():
-        assert abs(sum(s * p[k] for (s, _), p in zip(bundles, plan)) - v * total) <= 30
-    giant = allot([(600, 1), (1, 400)], shares)
+        assert abs(sum(s * p[k] for (s, _, _), p in zip(bundles, plan)) - v * total) <= 30
+    for profile in range(10):  # the profiles too have their shares
+        mine = [(b, p) for b, p in zip(bundles, plan) if b[2] == profile]
+        rows = sum(s * n for (s, n, _), _ in mine)
+        assert abs(sum(s * p["dev"] for (s, _, _), p in mine) - 0.1 * rows) <= 60
+    giant = allot([(600, 1, 0), (1, 400, 0)], shares)
     assert giant[0]["train"] == 1 and giant[1]["dev"] == giant[1]["test"] == 100
+    assert allot([], shares) == [] and sum(allot([(5, 1, 0)], shares)[0].values()) == 1
+
+
+def test_flow_is_cheapest():
+    # two ways of capacity 3 and 5 at costs 1 and 4, then one of cost 2 that must be undone in part
+    arcs = [(0, 2, 4.0, 1.0), (0, 3, 4.0, 1.0), (2, 3, 4.0, 0.0), (2, 1, 2.0, 5.0), (3, 1, 5.0, 1.0)]
+    flow = min_cost_flow(4, arcs, 0, 1)
+    assert flow[3] + flow[4] == 7 and sum(f * a[3] for f, a in zip(flow, arcs)) == 7 + 2 * 5 + 5
 
 
 def test_empty(spark):
