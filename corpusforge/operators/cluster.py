@@ -224,7 +224,7 @@ def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 1
     blocks, out = max(1, -(-n // rows_at_once)), None
     for b in range(blocks):
         rows = qs.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
-        shared = df.sparkSession.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["qv"] for r in rows], np.float32).reshape(len(rows), -1)))
+        shared = df.sparkSession.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["qv"] for r in rows], np.float64).reshape(len(rows), -1)))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
@@ -235,7 +235,7 @@ def nearest(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 1
             for f in frames:
                 if not len(f):
                     continue
-                v = np.stack([np.asarray(x, np.float32) for x in f["v"]])
+                v = np.stack([np.asarray(x, np.float64) for x in f["v"]])
                 d = 1 - qn @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).T
                 d, ks = np.hstack([best_d, d]), np.hstack([best_k, np.broadcast_to(f["k"].to_numpy(np.int64), (len(ids), len(f)))])
                 top = np.argsort(d, axis=1, kind="stable")[:, :k]
