@@ -143,6 +143,14 @@ class BpeAutomaton:
             out += got
         return out
 
+    def count_stretch(self, stretch: str) -> int:
+        """Number of tokens of a stretch that starts and ends where the pattern cuts."""
+        return len(self._encode_chunk(stretch))
+
+    def is_odd(self, text: str) -> bool:
+        """Whether blanks meet other white space, so that the text cannot be cut at blanks."""
+        return self._odd.search(text) is not None
+
     def pieces(self, text: str | None) -> list[list[int]]:
         """Token ids of a text by stretches. A blank before a visible character always starts a word of the pattern, so
         texts are cut there and stretches seen before are looked up; where blanks meet other white space, whole texts

@@ -57,17 +57,49 @@ def decode_corpus(df: DataFrame, rank_file: str, pattern: str, id_col: str = "do
     return df.select(id_col, ids_col).mapInArrow(run, schema)
 
 
+class _Counts(dict):
+    """Stretch of text -> its token counts by all tokenizers, packed 40 bits each, so that one sum adds them all."""
+
+    BITS = 40
+
+    def __init__(self, tools: list):
+        self.tools = tools
+
+    def pack(self, counts) -> int:
+        return sum(n << self.BITS * i for i, n in enumerate(counts))
+
+    def __missing__(self, stretch: str) -> int:
+        if len(self) >= self.tools[0].CACHE:
+            self.clear()
+        n = self.pack(a.count_stretch(" " + stretch) for a in self.tools)
+        if len(stretch) <= 64:
+            self[stretch] = n
+        return n
+
+    def of(self, text: str | None) -> int:
+        if not text:
+            return 0
+        if self.tools[0].is_odd(text):
+            return self.pack(a.count_stretch(text) for a in self.tools)
+        first, *rest = text.split(" ")
+        return (self.pack(a.count_stretch(first) for a in self.tools) if first else 0) + sum(map(self.__getitem__, rest))
+
+
 def token_counts(df: DataFrame, automata: dict[str, tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col` and one column n_<name> per tokenizer, from one pass over the texts. Null and empty texts count 0."""
+    """`id_col` and one column n_<name> per tokenizer, from one pass over the texts. Null and empty texts count 0.
+    All tokenizers must share one split pattern, since stretches are cut once for all."""
     names = sorted(automata)
+    if len({automata[k][1] for k in names}) > 1:
+        raise ValueError("the tokenizers split text by different patterns")
     shared = df.sparkSession.sparkContext.broadcast({k: automaton(*automata[k]) for k in names})
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] + [T.StructField(f"n_{k}", T.LongType(), False) for k in names])
 
     def run(batches):
-        tools = [shared.value[k] for k in names]
+        counts = _Counts([shared.value[k] for k in names])
+        mask = (1 << _Counts.BITS) - 1
         for b in batches:
-            texts = b.column(1).to_pylist()
-            cols = [pa.array([a.count(t) for t in texts], pa.int64()) for a in tools]
+            packed = [counts.of(t) for t in b.column(1).to_pylist()]
+            cols = [pa.array([n >> _Counts.BITS * i & mask for n in packed], pa.int64()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=[f.name for f in schema])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)

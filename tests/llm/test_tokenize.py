@@ -60,3 +60,12 @@ def test_table(spark):
     back = {r["doc_id"]: r["text"] for r in tokenize.decode_corpus(out, tokenize.tokenizer_file("byte_bpe_50k"), P.PATTERN).collect()}
     assert back[1] == "Þat var" and back[2] == "" and back[4] == "ok " * 50_000
     assert tokenize.encode_corpus(df.limit(0), tokenize.tokenizer_file("byte_bpe_50k"), P.PATTERN).count() == 0
+
+
+def test_counts_of_two_tokenizers(spark):
+    rows = list(enumerate(texts(7, 400))) + [(1_000, None), (1_001, ""), (1_002, "ok " * 40_000), (1_003, " x  y ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tools = {k: (tokenize.tokenizer_file(k), P.PATTERN) for k in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    got = {r["doc_id"]: (r["n_byte_bpe_50k"], r["n_byte_bpe_multi_50k"]) for r in tokenize.token_counts(df, tools).collect()}
+    want = {i: tuple(len(automaton(*tools[k]).encode(t)) for k in sorted(tools)) for i, t in rows}
+    assert got == want
