@@ -132,7 +132,7 @@ def cluster_names(df: DataFrame, kind: str = "kind", text: str = "text", vector:
         if big.isEmpty():
             break
         marks = big.select(F.col("kind").alias("_k"), F.col("block").alias("_b"))
-        d = d.join(F.broadcast(marks), (d["kind"] == marks["_k"]) & (d["block"] == marks["_b"]), "left")  # few: each stands for more than `limit` rows
+        d = d.join(marks, (d["kind"] == marks["_k"]) & (d["block"] == marks["_b"]), "left")
         d = d.withColumn("block", F.when(F.col("_b").isNotNull(), F.lower(F.left("text", F.lit(n)))).otherwise(F.col("block"))).drop("_k", "_b")
     else:
         d = d.withColumn("block", F.concat_ws("#", "block", F.when(F.length("block") >= 12, F.pmod(F.xxhash64("id"), F.lit(64)))))

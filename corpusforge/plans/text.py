@@ -185,7 +185,7 @@ def word_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.word_spans(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query(f"select doc_id, len(w) as words, list_sum(list_transform(w, lambda x: length(x))) as chars from (select doc_id, regexp_extract_all(text, {q(WORD_PATTERN)}) as w from documents where text is not null) where len(w) > 0")
+@query(f"select doc_id, len(w) as words, cast(list_sum(list_transform(w, lambda x: length(x))) as bigint) as chars from (select doc_id, regexp_extract_all(text, {q(WORD_PATTERN)}) as w from documents where text is not null) where len(w) > 0")
 def word_span_totals(spark: SparkSession, d: str) -> DataFrame:
     w = spans.word_spans(table(spark, d, "documents"), "doc_id", "text")
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum(F.col("end") - F.col("start") + 1).alias("chars"))
@@ -210,7 +210,7 @@ _BAD = r"[\x{FFFD}\p{C}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205
 
 @query(f"""with l as (select doc_id, unnest({_lines('text')}) as t, generate_subscripts({_lines('text')}, 1) as line from documents),
     c as (select doc_id, line, t, unnest(string_split(t, '')) as char, generate_subscripts(string_split(t, ''), 1) as position from l where regexp_matches(t, '{_BAD}'))
-    select doc_id, line, position, char, 'U+' || lpad(to_hex(unicode(char)), 4, '0') as code,
+    select doc_id, cast(line as integer) as line, cast(position as integer) as position, char, 'U+' || lpad(to_hex(unicode(char)), 4, '0') as code,
         case when regexp_matches(char, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') then 'control character' when char = chr(65533) then 'replacement character'
             when regexp_matches(char, '[\\x{{E000}}-\\x{{F8FF}}]') then 'private use character' else 'non-printable character' end as category,
         substr(t, greatest(0, position - 21) + 1, position - 1 + 20 - greatest(0, position - 21)) as context
@@ -219,13 +219,13 @@ def invalid_chars(spark: SparkSession, d: str) -> DataFrame:
     return qa.invalid_characters(table(spark, d, "documents"), "doc_id")
 
 
-@query("""select source, count(*) as texts, sum(length(text)) as chars, sum(len(regexp_extract_all(text, """ + q(WORD_PATTERN) + """))) as words from documents group by source""")
+@query("""select source, count(*) as texts, cast(sum(length(text)) as bigint) as chars, cast(sum(len(regexp_extract_all(text, """ + q(WORD_PATTERN) + """))) as bigint) as words from documents group by source""")
 def text_metrics(spark: SparkSession, d: str) -> DataFrame:
     return stats.text_metrics(table(spark, d, "documents"), ["source"])
 
 
 @query(f"""with a as (select doc_id, source, text, {strip(sub('text', f'{WS}+', ' '))} as k from documents)
-    select source, sum(length(text)) as before, sum(length(k)) as after, round(100.0 * sum(length(k)) / sum(length(text)), 4) as kept_percent from a group by source""")
+    select source, cast(sum(length(text)) as bigint) as before, cast(sum(length(k)) as bigint) as after, round(100.0 * sum(length(k)) / sum(length(text)), 4) as kept_percent from a group by source""")
 def keep_percent(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").withColumn("k", clean.strip_blank(F.regexp_replace("text", F.lit(f"{WS}+"), F.lit(" "))))
     return t.groupBy("source").agg(F.sum(F.length("text")).alias("before"), F.sum(F.length("k")).alias("after"), F.round(100.0 * F.sum(F.length("k")) / F.sum(F.length("text")), 4).alias("kept_percent"))

@@ -129,7 +129,7 @@ def conll_read_strict(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with l as (select file, line_id as ln, {strip('line')} as t from raw_lines),
     b as (select *, sum(case when t = '' then 1 else 0 end) over (partition by file order by ln rows between unbounded preceding and current row) as block from l)
-    select file, block, string_agg(string_split(t, chr(9))[1], ' ' order by ln) as text from b where t <> '' group by file, block""")
+    select file, cast(block as bigint) as block, string_agg(string_split(t, chr(9))[1], ' ' order by ln) as text from b where t <> '' group by file, block""")
 def running_text(spark: SparkSession, d: str) -> DataFrame:
     return conll.running_text(_raw(spark, d))
 

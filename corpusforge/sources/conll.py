@@ -54,7 +54,7 @@ def sentence_ids(parsed: DataFrame) -> DataFrame:
     per = parsed.groupBy("file", "block").agg(F.min("ln").alias("first"))
     ids = running_count(per, ["file"], "first", F.lit(1), "sent_id").select("file", "block", "sent_id")
     w = Window.partitionBy("file", "block").orderBy("ln")
-    return parsed.join(ids, ["file", "block"]).withColumn("tok_id", F.row_number().over(w)).select("file", "sent_id", "tok_id", "token", "label")
+    return parsed.join(ids, ["file", "block"]).withColumn("tok_id", F.row_number().over(w).cast("long")).select("file", "sent_id", "tok_id", "token", "label")
 
 
 def read_conll(spark: SparkSession, path: str, reader: str = "last", glob: str = "*.txt") -> DataFrame:
