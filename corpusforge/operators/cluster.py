@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusforge.functions.similarity import jaro
+from corpusforge.runtime import cut
 
-LIMIT = 1_000  # names compared all with all in one task; larger types are cut into blocks first
+LIMIT = 1_000  # names in a block; every block of a kind is compared with every other
+AT_ONCE = 32_768  # pairs in one vector operation
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -36,49 +39,185 @@ def text_distance(a: str, b: str) -> float:
     return 1 - (0.40 * jaro(a, b) + 0.35 * (1 - levenshtein(a, b) / longest) + 0.25 * n / longest)
 
 
+def text_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """text_distance of every a with every b. Names of up to 64 characters go by bit vectors, longer ones one by one."""
+    a, b = [x.lower() for x in a], [x.lower() for x in b]
+    out = np.empty((len(a), len(b)))
+    ra, rb = ([i for i, x in enumerate(t) if len(x) <= 64] for t in (a, b))
+    ra.sort(key=lambda i: len(a[i]))
+    if ra and rb:
+        code = {c: k for k, c in enumerate(sorted(set("".join(a[i] for i in ra) + "".join(b[j] for j in rb))))}
+        lb = np.array([len(b[j]) for j in rb])
+        at = np.zeros((len(code) + 1, len(rb)), np.uint64)  # where each character stands in each b; the last row is of none
+        first = np.full((len(rb), 65), -2)
+        for k, j in enumerate(rb):
+            for i, c in enumerate(b[j]):
+                at[code[c], k] |= np.uint64(1 << i)
+                first[k, i] = code[c]
+        step = max(1, AT_ONCE // len(rb))
+        for s in range(0, len(ra), step):
+            rows = ra[s : s + step]
+            out[np.ix_(rows, rb)] = _bit_distances([[code[c] for c in a[i]] for i in rows], at, first, lb)
+    for i in range(len(a)):
+        for j in range(len(b)) if len(a[i]) > 64 else [j for j in range(len(b)) if len(b[j]) > 64]:
+            out[i, j] = text_distance(a[i], b[j])
+    return out
+
+
+def _bit_distances(a: list[list[int]], at: np.ndarray, first: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Rows a (codes, by length) against the columns whose characters stand in `at`: Jaro and Levenshtein over bit vectors."""
+    one, la = np.uint64(1), np.array([len(x) for x in a])
+    top, shape = int(la.max()), (len(a), len(lb))
+    codes = np.full((len(a), top + 1), len(at) - 1)
+    for k, x in enumerate(a):
+        codes[k, : len(x)] = x
+    longest = np.maximum(la[:, None], lb[None, :])
+    reach = np.maximum(0, longest // 2 - 1)
+    window = np.where(reach >= 63, ~np.uint64(0), (one << np.minimum(reach + 1, 63).astype(np.uint64)) - one)
+    reach = reach.astype(np.uint8)
+    used, hits, vp, vn = np.zeros(shape, np.uint64), [], np.full(shape, ~np.uint64(0)), np.zeros(shape, np.uint64)
+    scratch = [np.empty(shape, np.uint64) for _ in range(3)]
+    for i in range(top):
+        k = int(np.searchsorted(la, i, "right"))  # rows from k on have a character here
+        m, x, t = (z[k:] for z in scratch)
+        np.take(at, codes[k:, i], axis=0, out=m, mode="clip")
+        np.invert(used[k:], out=x)
+        x &= m
+        x &= window[k:]
+        x &= np.negative(x, out=t)
+        used[k:] |= x
+        hits.append((k, x != 0))
+        window[k:] <<= one
+        window[k:] |= reach[k:] > i
+        p, n = vp[k:], vn[k:]
+        m |= n
+        np.bitwise_and(m, p, out=x)
+        x += p
+        x ^= p
+        x |= m
+        np.bitwise_and(p, x, out=t)
+        np.invert(np.bitwise_or(p, x, out=m), out=m)
+        m |= n
+        m <<= one
+        m |= one
+        np.bitwise_and(m, x, out=n)
+        m |= x
+        np.invert(m, out=m)
+        t <<= one
+        np.bitwise_or(t, m, out=p)
+    full = np.where(lb >= 64, ~np.uint64(0), (one << np.minimum(lb, 63).astype(np.uint64)) - one)
+    edits = la[:, None] + np.bitwise_count(vp & full).astype(int) - np.bitwise_count(vn & full).astype(int)
+    found, left, swaps = np.bitwise_count(used).astype(float), used, np.zeros(shape, np.uint8)
+    for i, (k, hit) in enumerate(hits):
+        m, low, _ = (z[k:] for z in scratch)
+        np.take(at, codes[k:, i], axis=0, out=m, mode="clip")
+        np.negative(left[k:], out=low)
+        low &= left[k:]
+        low *= hit
+        left[k:] ^= low
+        m &= low
+        swaps[k:] += hit & (m == 0)
+    prefix, same = np.zeros(shape, int), np.ones(shape, bool)
+    for i in range(min(top, 64)):
+        same &= codes[:, i, None] == first[None, :, i]
+        if not same.any():
+            break
+        prefix += same
+    with np.errstate(divide="ignore", invalid="ignore"):
+        j = np.where(found == 0, 0.0, (found / la[:, None] + found / lb + (found - swaps / 2) / found) / 3)
+        d = 1 - (0.40 * j + 0.35 * (1 - edits / longest) + 0.25 * prefix / longest)
+    return np.where(edits == 0, 0.0, d)
+
+
+def distances(a: list[str], b: list[str], va: np.ndarray | None, vb: np.ndarray | None, text_weight: float = 0.60) -> np.ndarray:
+    """Hybrid distance of every a with every b; of the texts alone if there are no vectors."""
+    d = text_distances(a, b)
+    if va is None or vb is None:
+        return d
+    na, nb = np.linalg.norm(va, axis=1), np.linalg.norm(vb, axis=1)
+    # einsum adds up in the same order whatever the size of the blocks
+    cos = np.clip(1 - np.einsum("ik,jk->ij", va / np.where(na == 0, 1, na)[:, None], vb / np.where(nb == 0, 1, nb)[:, None]), 0, 2)
+    cos[(na == 0)[:, None] | (nb == 0)[None, :]] = 1
+    return text_weight * d + (1 - text_weight) * cos
+
+
 def distance_matrix(texts: list[str], vectors: np.ndarray | None, text_weight: float = 0.60) -> np.ndarray:
-    n = len(texts)
-    d = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1, n):
-            d[i, j] = d[j, i] = text_distance(texts[i], texts[j])
-    if vectors is not None:
-        norm = np.linalg.norm(vectors, axis=1)
-        safe = np.where(norm == 0, 1, norm)
-        cos = np.clip(1 - (vectors / safe[:, None]) @ (vectors / safe[:, None]).T, 0, 2)
-        cos[(norm == 0)[:, None] | (norm == 0)[None, :]] = 1
-        d = text_weight * d + (1 - text_weight) * cos
-    np.fill_diagonal(d, 0)
-    return d
+    d = np.triu(distances(texts, texts, vectors, vectors, text_weight), 1)
+    return d + d.T
+
+
+def shortest_edges(d: np.ndarray, rows: np.ndarray, cols: np.ndarray | None = None) -> list[tuple[float, int, int]]:
+    """(weight, a, b) with a < b: the minimum spanning forest under the order of weight, then ends, so that it is the only
+    one. d is a symmetric matrix over `rows` or, with `cols` (all above the rows), the distances between two blocks.
+
+    Rounds of Boruvka; of one block and of all pairs of blocks the forests together hold that of the whole.
+    """
+    d, square = d.copy(), cols is None
+    if square:
+        np.fill_diagonal(d, np.inf)
+    ends = rows if square else np.concatenate([rows, cols])
+    part, out = np.arange(len(ends)), []
+    pr, pc = (lambda: part), (lambda: part)
+    if not square:
+        pr, pc = (lambda: part[: len(rows)]), (lambda: part[len(rows) :])
+    while True:
+        j = np.argmin(d, axis=1)
+        near = [(d[np.arange(len(d)), j], np.arange(len(d)), j if square else j + len(rows))]
+        if not square:
+            i = np.argmin(d, axis=0)
+            near.append((d[i, np.arange(d.shape[1])], i, np.arange(d.shape[1]) + len(rows)))
+        w, x, y = (np.concatenate(z) for z in zip(*near))
+        own = part[x] if square else np.concatenate([part[: len(rows)], part[len(rows) :]])
+        keep = np.isfinite(w)
+        w, x, y, own = w[keep], x[keep], y[keep], own[keep]
+        if not len(w):
+            return out
+        lo, hi = np.minimum(ends[x], ends[y]), np.maximum(ends[x], ends[y])
+        order = np.lexsort((hi, lo, w, own))
+        best = order[np.unique(own[order], return_index=True)[1]]
+        for k in best:
+            p, q = part[x[k]], part[y[k]]
+            if p != q:
+                out.append((float(w[k]), int(lo[k]), int(hi[k])))
+                part[part == max(p, q)] = min(p, q)
+        d[pr()[:, None] == pc()[None, :]] = np.inf
+
+
+def spanning(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges make the minimum spanning forest, in its order."""
+    _, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order, out = np.lexsort((b, a, w)), []
+    root, ends = list(range(len(ends))), ends.tolist()
+    for k in order.tolist():
+        p, q = _root(root, ends[k]), _root(root, ends[k + len(a)])
+        if p != q:
+            root[p] = q
+            out.append(k)
+    return np.array(out, int)
+
+
+def _root(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
 
 
 def density_clusters(d: np.ndarray, min_size: int = 2) -> np.ndarray:
-    """Labels (-1 is noise) of the leaves of the condensed tree over mutual reachability with one neighbour."""
-    n = len(d)
+    """Labels (-1 is noise) of the leaves of the condensed tree over mutual reachability with one neighbour.
+
+    That reachability is the distance itself: the distance to the nearest other name is never above it.
+    """
+    return tree_labels(len(d), sorted(shortest_edges(d, np.arange(len(d)))) if len(d) > 1 else [], min_size)
+
+
+def tree_labels(n: int, edges: list[tuple[float, int, int]], min_size: int = 2) -> np.ndarray:
+    """Labels of the leaves of the condensed tree; edges are those of the minimum spanning tree over 0 to n - 1, in order."""
     if n < 2:
         return np.full(n, -1)
-    core = np.partition(d + np.where(np.eye(n, dtype=bool), np.inf, 0), 0, axis=1)[:, 0]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
-    # minimum spanning tree (Prim), edges sorted by weight, then ends
-    inside, best, link, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
-    at = 0
-    for _ in range(n - 1):
-        inside[at] = True
-        closer = ~inside & (reach[at] < best)
-        best[closer], link[closer] = reach[at][closer], at
-        at = int(np.argmin(np.where(inside, np.inf, best)))
-        edges.append((best[at], *sorted((int(link[at]), at))))
-    edges.sort()
     root, kids, size = list(range(n)), {}, [1] * n
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for w, a, b in edges:
-        a, b = find(a), find(b)
+    for _, a, b in edges:
+        a, b = _root(root, a), _root(root, b)
         new = len(root)
         root.append(new)
         root[a] = root[b] = new
@@ -119,30 +258,50 @@ def _points(node: int, kids: dict) -> list[int]:
 
 
 def cluster_names(df: DataFrame, kind: str = "kind", text: str = "text", vector: str | None = "embedding", key: str = "id", limit: int = LIMIT) -> DataFrame:
-    """(kind, block, key, text, cluster): density clusters inside each kind; -1 is noise.
+    """(kind, block, key, text, cluster): density clusters inside each kind; -1 is noise. block is empty.
 
-    Kinds with up to `limit` names are compared as a whole. A larger kind is cut by the first letters of the name, as
-    many as bring a block under the limit (up to 12), so that no task compares more; names that agree in fewer letters
-    are then not compared. A kind with one name has no cluster.
+    All names of a kind are compared with all: names are numbered by key and cut into blocks of `limit`, each pair of
+    blocks gives the edges of its own minimum spanning forest, and these together hold the tree of the kind. So `limit` is
+    the size of a piece of work and changes no result. A kind of which a name has no vector is compared by text alone; a
+    kind with one name has no cluster. The tree (at most one edge a name) is made into clusters by one task per kind.
     """
-    d = df.where(F.col(text).isNotNull()).select(F.col(kind).alias("kind"), F.col(key).alias("id"), F.col(text).alias("text"), (F.col(vector) if vector else F.lit(None).cast("array<float>")).alias("v"))
-    d = d.withColumn("block", F.lit(""))
-    for n in range(1, 13):
-        big = d.groupBy("kind", "block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-        if big.isEmpty():
-            break
-        marks = big.select(F.col("kind").alias("_k"), F.col("block").alias("_b"))
-        d = d.join(marks, (d["kind"] == marks["_k"]) & (d["block"] == marks["_b"]), "left")
-        d = d.withColumn("block", F.when(F.col("_b").isNotNull(), F.lower(F.left("text", F.lit(n)))).otherwise(F.col("block"))).drop("_k", "_b")
-    else:
-        d = d.withColumn("block", F.concat_ws("#", "block", F.when(F.length("block") >= 12, F.pmod(F.xxhash64("id"), F.lit(64)))))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("id").reset_index(drop=True)
-        v = None if p["v"].isna().any() else np.stack([np.asarray(x, float) for x in p["v"]])
-        return pd.DataFrame({"kind": p["kind"], "block": p["block"], "id": p["id"], "text": p["text"], "cluster": density_clusters(distance_matrix(list(p["text"]), v))})
-
-    return d.groupBy("kind", "block").applyInPandas(run, "kind string, block string, id long, text string, cluster int")
+    d = df.where(F.col(text).isNotNull()).select(F.col(kind).cast("string").alias("kind"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"), (F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")).alias("v"))
+    d = d.withColumn("g", F.coalesce(F.concat(F.lit("k"), "kind"), F.lit("")))
+    d = cut(d.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("id", "text")) - 1))
+    sizes = d.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("n"), F.bool_and(F.col("v").isNotNull()).alias("has_v"))
+    blocks = d.groupBy("g", F.floor(F.col("pos") / limit).cast("int").alias("b")).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "v"))).alias("names"))
+    pairs = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("b2", F.explode(F.sequence("b", F.col("n") - 1)))
+    tasks = min(240, max(1, pairs.count()))
+    sides = [blocks.select("g", F.col("b").alias(x), F.col("names").alias(f"names_{x}")) for x in ("b", "b2")]
+    work = pairs.join(sides[0], ["g", "b"]).join(sides[1], ["g", "b2"]).repartition(tasks, F.xxhash64("g", "b", "b2"))
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {}
+        for f in frames:
+            for r in range(f.num_rows):
+                g, b, b2, has_v, *names = (f.column(c)[r].as_py() for c in ("g", "b", "b2", "has_v", "names_b", "names_b2"))
+                pos, texts, vs = ([[x[c] for x in n] for n in names] for c in ("pos", "text", "v"))
+                va, vb = (np.array(v, float) for v in vs) if has_v else (None, None)
+                m = distances(texts[0], texts[1], va, vb)
+                if b == b2:
+                    m = np.triu(m, 1)
+                    edges = shortest_edges(m + m.T, np.array(pos[0]))
+                else:
+                    edges = shortest_edges(m, np.array(pos[0]), np.array(pos[1]))
+                if edges:
+                    found.setdefault(g, []).append(pd.DataFrame(edges, columns=["w", "x", "y"]))
+        for g, parts in found.items():
+            e = pd.concat(parts)
+            e = e.iloc[spanning(*(e[c].to_numpy() for c in "wxy"))]
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(e)), pa.array(e["w"]), pa.array(e["x"], pa.int64()), pa.array(e["y"], pa.int64())], ["g", "w", "x", "y"])
+
+    def label(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("pos").reset_index(drop=True)
+        e = e.iloc[spanning(*(e[c].to_numpy() for c in "wxy"))] if len(e) else e
+        return pd.DataFrame({"kind": p["kind"], "block": "", "id": p["id"], "text": p["text"], "cluster": tree_labels(len(p), list(zip(e["w"], e["x"], e["y"])))})
+
+    edges = work.select("g", "b", "b2", "has_v", "names_b", "names_b2").mapInArrow(run, "g string, w double, x long, y long")
+    return d.drop("v").groupBy("g").cogroup(edges.groupBy("g")).applyInPandas(label, "kind string, block string, id long, text string, cluster int")
 
 
 def payload(clusters: DataFrame) -> DataFrame:

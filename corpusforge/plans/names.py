@@ -314,9 +314,15 @@ def hybrid_distance(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["kind", "k"]).where("a < b").select("a", "b", F.round(dist, 6).alias("distance"))
 
 
+def _unique_names(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text, kind): the unique names of entities, as in dedupe_casefold_freq, by their first row. No table has vectors of them."""
+    e = _e(spark, d).where("norm_text is not null")
+    return e.groupBy(F.col("label").alias("kind"), F.lower("norm_text").alias("key")).agg(F.min("ent_id").alias("id"), F.min_by("norm_text", "ent_id").alias("text")).drop("key")
+
+
 @query()
 def hdbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster_names(_vector_names(spark, d))
+    return cluster.cluster_names(_unique_names(spark, d), vector=None)
 
 
 _GROUPS = "c as (select 'v' as kind, '' as block, label as cluster, vec_id as id, 'v' || vec_id as text from embeddings)"
