@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusforge.operators.ranking import salted_rank
+from corpusforge.operators.stats import corpus_stats
 
 
 def hash_key(seed: int, *cols: str) -> Column:
@@ -114,3 +115,31 @@ def experiments(parts: dict[str, DataFrame], table: dict[str, tuple[str, ...]])
     if out is None:
         raise ValueError("no experiment has all its parts")
     return out
+
+
+#: Training sets over the split corpus `old`; the other corpus goes in whole, as in the scripts.
+NORMALISED_SETS = {"baseline_mim": ("old", "mim"), "baseline_mim_resamp": ("old_r", "mim"), "old_ice_only": ("old",), "old_ice_resamp": ("old_r",)}
+
+
+def experiment_sets(tokens: DataFrame, target: str, others: list[str], table: dict[str, tuple[str, ...]], name: str | None = None, method: str = "sCR", seed: int = 42) -> DataFrame:
+    """(experiment, split, part, sent_id, copy, tokens): every sentence of the training sets of all experiments, and under the
+    experiment `shared` those of their dev and test.
+
+    tokens has sent_id, part and label. The part `target` (in the table under `name`) is split by strata; its training part
+    alone gives the rareness and is replicated. Other parts go in whole; experiments of a part without rows are left out.
+    """
+    name = name or target
+    own = tokens.where(F.col("part") == target)
+    has = lambda x: F.coalesce(F.bool_or(F.col("label").rlike(f"^.-{x}$")), F.lit(False))
+    sents = own.groupBy("sent_id").agg(has("Person").alias("has_person"), has("Location").alias("has_location"), F.count(F.lit(1)).alias("tokens"))
+    split = stratified_split(sents, ["sent_id"], seed=seed).select("sent_id", "split", "tokens")
+    train = split.where("split = 'train'").drop("split")
+    kept = own.join(train.select("sent_id"), "sent_id", "left_semi")
+    parts = {name: train.withColumn("copy", F.lit(1).cast("long")), f"{name}_r": replicate(train, factors(kept, corpus_stats(kept), ["sent_id"], method), ["sent_id"])}
+    for o in others:
+        whole = tokens.where(F.col("part") == o)
+        if not whole.isEmpty():
+            parts[o] = whole.groupBy("sent_id").agg(F.count(F.lit(1)).alias("tokens")).withColumn("copy", F.lit(1).cast("long"))
+    sets = experiments(parts, table).withColumn("split", F.lit("train"))
+    shared = split.where("split <> 'train'").withColumns({"experiment": F.lit("shared"), "part": F.lit(name), "copy": F.lit(1).cast("long")})
+    return sets.unionByName(shared).select("experiment", "split", "part", "sent_id", "copy", "tokens")
