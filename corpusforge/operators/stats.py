@@ -48,13 +48,20 @@ def shares(counts: DataFrame, n: str, of: list[str] | None = None) -> DataFrame:
 
 
 def repeated(df: DataFrame, keys: list[str], index: str | None = None) -> DataFrame:
-    """Keys with more than one row, how many, and with `index` the first rows' numbers (up to 20)."""
+    """Keys with more than one row, how many, and with `index` the least and greatest of their numbers; repeated_rows has all."""
     aggs = [F.count(F.lit(1)).alias("n")]
     if index:
         aggs += [F.min(index).alias("first_row"), F.max(index).alias("last_row")]
     return df.groupBy(*keys).agg(*aggs).where("n > 1")
 
 
+def repeated_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows whose key is in more than one row, each with how many (n). Null keys count as equal, as in repeated."""
+    many = repeated(df, keys).select(*[F.col(c).alias(f"_k_{c}") for c in keys], "n")
+    cond = [df[c].eqNullSafe(many[f"_k_{c}"]) for c in keys]
+    return df.join(many, cond).drop(*[f"_k_{c}" for c in keys])
+
+
 def text_metrics(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     from corpusforge.operators.spans import count_words
 

@@ -80,6 +80,11 @@ def dup_keys_idx(spark: SparkSession, d: str) -> DataFrame:
     return stats.repeated(_e(spark, d), ["dipl_text", "label", "subtype"], "ent_id")
 
 
+@query("select dipl_text, label, subtype, ent_id, n from (select *, count(*) over (partition by dipl_text, label, subtype) as n from entities) where n > 1")
+def dup_keys_rows(spark: SparkSession, d: str) -> DataFrame:
+    return stats.repeated_rows(_e(spark, d).select("dipl_text", "label", "subtype", "ent_id"), ["dipl_text", "label", "subtype"])
+
+
 @query("select label, subtype, count(*) as n, cast(grouping(label, subtype) as bigint) as level from entities group by rollup(label, subtype)")
 def label_subtype_rollup(spark: SparkSession, d: str) -> DataFrame:
     return stats.histogram(_e(spark, d), "label", "subtype")

@@ -241,6 +241,12 @@ def dup_texts(spark: SparkSession, d: str) -> DataFrame:
     return stats.repeated(table(spark, d, "documents").select(F.md5("text").alias("digest"), "doc_id"), ["digest"], "doc_id")
 
 
+@query("select digest, doc_id, n from (select md5(text) as digest, doc_id, count(*) over (partition by md5(text)) as n from documents) where n > 1")
+def dup_texts_rows(spark: SparkSession, d: str) -> DataFrame:
+    return stats.repeated_rows(table(spark, d, "documents").select(F.md5("text").alias("digest"), "doc_id"), ["digest"])
+
+
+
 @query("select 'documents' as origin, count(*) as n, count(text) as texts from documents union all select 'clean_text', count(*), count(text) from clean_text union all select 'abuse_review', count(*), count(text) from abuse_review")
 def union_sources(spark: SparkSession, d: str) -> DataFrame:
     from corpusforge.sources.files import union_sources as union
