@@ -304,10 +304,20 @@ def cluster_names(df: DataFrame, kind: str = "kind", text: str = "text", vector:
     return d.drop("v").groupBy("g").cogroup(edges.groupBy("g")).applyInPandas(label, "kind string, block string, id long, text string, cluster int")
 
 
-def payload(clusters: DataFrame) -> DataFrame:
-    """Per kind, block and cluster the members in order, how many, and the next free number."""
-    members = F.array_sort(F.collect_list(F.struct("text", "id")))
-    p = clusters.groupBy("kind", "block", "cluster").agg(F.count(F.lit(1)).alias("size"), members.alias("members"))
+def payload(clusters: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Per kind, block and cluster the members in order, how many, and the next free number.
+
+    With names (kind, id, frequency, work_names, sources: one row per name) the members carry these, and the cluster the
+    sum of the frequencies, all its works and the sum of the sources.
+    """
+    member, more = ["text", "id"], []
+    if names is not None:
+        n = names.select(F.col("kind").alias("_k"), F.col("id").alias("_i"), "frequency", "work_names", "sources")
+        clusters = clusters.join(n, clusters["kind"].eqNullSafe(n["_k"]) & (clusters["id"] == n["_i"]), "left").drop("_k", "_i")
+        member += ["frequency", "work_names", "sources"]
+        more = [F.sum("frequency").alias("frequency"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("work_names")))).alias("work_names"), F.sum("sources").alias("sources")]
+    members = F.array_sort(F.collect_list(F.struct(*member)))
+    p = clusters.groupBy("kind", "block", "cluster").agg(F.count(F.lit(1)).alias("size"), members.alias("members"), *more)
     w = Window.partitionBy("kind", "block")
     return p.withColumn("next_cluster", F.max("cluster").over(w) + 1).withColumn("is_noise", F.col("cluster") == -1)
 
@@ -353,9 +363,19 @@ class History:
         return self.now
 
 
-def export(clusters: DataFrame) -> DataFrame:
-    """One JSON string per cluster."""
-    return payload(clusters).select(F.to_json(F.struct("kind", "block", "cluster", "size", "members")).alias("json"))
+def export(clusters: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One JSON string per cluster, with the statistics of its kind and block: names, clusters and names in noise."""
+    p, w = payload(clusters, names), Window.partitionBy("kind", "block")
+    noise = F.col("is_noise")
+    total = F.struct(F.sum("size").over(w).alias("names"), F.count(F.when(~noise, 1)).over(w).alias("clusters"), F.coalesce(F.sum(F.when(noise, F.col("size"))).over(w), F.lit(0)).alias("noise"))
+    fields = ["kind", "block", "cluster", "size", "members", *(["frequency", "work_names", "sources"] if names is not None else [])]
+    return p.withColumn("statistics", total).select(F.to_json(F.struct(*fields, "statistics")).alias("json"))
+
+
+def display_contexts(contexts: DataFrame, by: list[str], order: list[str], most: int = 20) -> DataFrame:
+    """The first `most` contexts of each name, for pages; nothing else is cut."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return contexts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
 def search(clusters: DataFrame, text: str) -> DataFrame:

@@ -55,12 +55,19 @@ def filter_statistics(tokens: DataFrame, keys: list[str], keep: tuple[str, ...]
     return t.groupBy(*keys, "type").agg(n.alias("original"), kept.alias("kept"), (n - kept).alias("removed"))
 
 
-def unique_entities(df: DataFrame, text: str, kind: str, work: str, order: list[str], contexts: int = 20) -> DataFrame:
-    """Names equal without case as one: the first spelling, how often, in how many works, all spellings, and the works of
-    the first `contexts` distinct mentions. Mentions are first made distinct per (name, spelling, work), so that a name
-    with a third of all rows is no long list in one task."""
+def unique_entities(df: DataFrame, text: str, kind: str, work: str, order: list[str]) -> DataFrame:
+    """Names equal without case as one: the first spelling, how often, in how many works, all spellings and all works.
+    Mentions are first made distinct per (name, spelling, work), so that a name with a third of all rows is no long list in
+    one task. name_contexts has the mentions themselves."""
     d = df.where(F.col(text).isNotNull()).select(F.lower(text).alias("key"), F.col(text).alias("text"), F.col(kind).alias("kind"), F.col(work).alias("work"), F.struct(*order).alias("o"))
     per = d.groupBy("kind", "key", "text", "work").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
     return per.groupBy("kind", "key").agg(
-        F.min_by("text", "o").alias("text"), F.sum("n").alias("frequency"), F.count_distinct("work").alias("works"), F.sort_array(F.collect_set("text")).alias("variants"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct("o", "work"))), lambda x: x["work"]), 1, contexts).alias("first_works"))
+        F.min_by("text", "o").alias("text"), F.sum("n").alias("frequency"), F.count_distinct("work").alias("works"), F.sort_array(F.collect_set("text")).alias("variants"), F.sort_array(F.collect_set("work")).alias("work_names"))
+
+
+def name_contexts(df: DataFrame, text: str, kind: str, work: str, context: str, places: list[str], order: list[str]) -> DataFrame:
+    """(kind, key, context, work, places): the mentions of every unique name as rows, of those equal in (context, work) the
+    first by `order`. A null context or work counts as a value."""
+    d = df.where(F.col(text).isNotNull())
+    d = d.select(F.col(kind).alias("kind"), F.lower(text).alias("key"), F.col(context).alias("context"), F.col(work).alias("work"), *[F.col(c) for c in places], F.struct(*order).alias("_o"))
+    return first_seen(d, ["kind", "key", "context", "work"], ["_o"]).drop("_o")

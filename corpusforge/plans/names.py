@@ -75,6 +75,17 @@ def dedupe_casefold_freq(spark: SparkSession, d: str) -> DataFrame:
     return u.select("kind", "key", "text", "frequency", "works", F.array_join("variants", "|").alias("variants"))
 
 
+def _contexts(spark: SparkSession, d: str) -> DataFrame:
+    """The table has no running text: the context of a name is its manuscript spelling, its place the row in the file."""
+    return entities.name_contexts(_e(spark, d), "norm_text", "label", "source", "dipl_text", ["file", "ord", "ent_id"], ["ent_id"])
+
+
+@query("""select label as kind, lower(norm_text) as key, dipl_text as context, source as work, min_by(file, ent_id) as file, min_by(ord, ent_id) as ord, min(ent_id) as ent_id
+    from entities where norm_text is not null group by all""")
+def name_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return _contexts(spark, d)
+
+
 @query("select dipl_text, label, subtype, count(*) as n, min(ent_id) as first_row, max(ent_id) as last_row from entities group by dipl_text, label, subtype having count(*) > 1")
 def dup_keys_idx(spark: SparkSession, d: str) -> DataFrame:
     return stats.repeated(_e(spark, d), ["dipl_text", "label", "subtype"], "ent_id")
@@ -367,6 +378,15 @@ def hdbscan_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster.cluster_names(_unique_names(spark, d), vector=None)
 
 
+@query()
+def name_cluster_payload(spark: SparkSession, d: str) -> DataFrame:
+    ids = _unique_names(spark, d).select(F.col("kind").alias("_k"), F.lower("text").alias("_t"), "id")
+    u = entities.unique_entities(_e(spark, d), "norm_text", "label", "source", ["ent_id"])
+    n = _contexts(spark, d).groupBy(F.col("kind").alias("_nk"), F.col("key").alias("_nt")).agg(F.count(F.lit(1)).alias("sources"))
+    u = u.join(ids, u["kind"].eqNullSafe(ids["_k"]) & (u["key"] == ids["_t"])).join(n, u["kind"].eqNullSafe(n["_nk"]) & (u["key"] == n["_nt"]))
+    return cluster.payload(hdbscan_clusters(spark, d), u)
+
+
 _GROUPS = "c as (select 'v' as kind, '' as block, label as cluster, vec_id as id, 'v' || vec_id as text from embeddings)"
 
 
