@@ -167,45 +167,75 @@ def pack_histogram(hist: dict[int, int], capacity: int, n_groups: int = 256, lar
     return [b for bs in by_free.values() for b in bs], base
 
 
+class Places:
+    """Where the items of each size go: the slots of all bundles, found by (scheme, size), then by rank.
+
+    Slots of one (scheme, size) lie side by side, ordered by their first rank, so that sizes, ranks and the number of
+    schemes may be as large as 64 bits allow.
+    """
+
+    def __init__(self, rows: list[tuple[int, int, int, int, int]]):
+        at = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+        self.scheme, self.size = at[:, 0], at[:, 1]
+        self.first, self.k, self.base = at[:, 2], at[:, 3], at[:, 4]
+        new = np.r_[True, (self.scheme[1:] != self.scheme[:-1]) | (self.size[1:] != self.size[:-1])] if len(at) else np.zeros(0, bool)
+        self.starts = np.flatnonzero(new)
+        self.ends = np.r_[self.starts[1:], len(at)].astype(np.int64)
+        self.groups = {}
+        for g, i in enumerate(self.starts.tolist()):
+            self.groups.setdefault(int(self.scheme[i]), []).append(g)
+        self.groups = {p: np.array(g, np.int64) for p, g in self.groups.items()}
+
+    def container(self, scheme: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The container of each item; 0 for items of size 0."""
+        out = np.zeros(len(size), np.int64)
+        for p in np.unique(scheme[size > 0]):
+            mine = np.flatnonzero((scheme == p) & (size > 0))
+            g = self.groups[int(p)]
+            g = g[np.searchsorted(self.size[self.starts[g]], size[mine])]
+            lo, hi, r = self.starts[g], self.ends[g] - 1, rank[mine]
+            while (lo < hi).any():  # the last slot that begins at or before the rank
+                mid = (lo + hi + 1) >> 1
+                up = self.first[mid] <= r
+                lo, hi = np.where(up, mid, lo), np.where(up, hi, mid - 1)
+            out[mine] = self.base[lo] + (r - self.first[lo]) // self.k[lo]
+        return out
+
+
 def pack(df: DataFrame, plans: list[tuple[int, int, str]], counts: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(plan_id, id_col, piece, start_tok, n_tok, container): a container for every document of every plan.
 
     `counts` has `id_col` and a column n_<tokenizer> per tokenizer; plans are (plan_id, capacity, tokenizer). Documents
     longer than the capacity are cut into full pieces and a rest; no other is cut. Documents without tokens (null, empty)
-    go to container 0. Repeated rows are items of their own; ties of size are broken by a hash of the id.
+    go to container 0. Repeated rows are items of their own; ties of size are broken by a hash of the id. Plans with the
+    same capacity and tokenizer are packed once and share the result.
     """
     spark = counts.sparkSession
-    each = F.array(*[F.struct(F.lit(p).cast("int").alias("plan_id"), F.lit(c).cast("long").alias("capacity"), F.col(f"n_{t}").alias("n")) for p, c, t in plans])
+    schemes = sorted({(c, t) for _, c, t in plans})
+    each = F.array(*[F.struct(F.lit(i).alias("scheme"), F.lit(c).cast("long").alias("capacity"), F.col(f"n_{t}").alias("n")) for i, (c, t) in enumerate(schemes)])
     items = counts.select(id_col, F.explode(each).alias("x")).select("x.*", id_col)
     last = F.greatest(F.lit(0).cast("long"), F.expr("(n - 1) div capacity"))
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    items = items.select("plan_id", id_col, F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.col("capacity")).alias("start_tok"),
+    items = items.select("scheme", id_col, F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.col("capacity")).alias("start_tok"),
                          F.least(F.col("capacity"), F.col("n") - F.col("piece") * F.col("capacity")).alias("n_tok"))
-    hist: dict[int, dict[int, int]] = {p: {} for p, _, _ in plans}
-    for r in items.where("n_tok > 0").groupBy("plan_id", "n_tok").count().collect():  # at most `capacity` rows a plan
-        hist[r["plan_id"]][r["n_tok"]] = r["count"]
-    places = []
-    for p, c, _ in plans:
-        bundles, _n = pack_histogram(hist[p], c)
-        places += [(p, s, f, k, b.base) for b in bundles for s, f, k in b.slots]
-    places.sort()
-    at = np.array([[x[i] for x in places] for i in range(5)], dtype=np.int64).reshape(5, -1)
-    plan_no = {p: i for i, (p, _, _) in enumerate(sorted(plans))}
-    find = np.array([plan_no[p] for p in at[0].tolist()], dtype=np.int64) << 56 | at[1] << 40 | at[2]
-    shared = spark.sparkContext.broadcast((plan_no, find, at[2], at[3], at[4]))  # bounded by the capacities
-    ranked = salted_rank(items, ["plan_id", "n_tok"], F.xxhash64(id_col, "piece"), [id_col, "piece"])
+    hist: dict[int, dict[int, int]] = {i: {} for i in range(len(schemes))}
+    for r in items.where("n_tok > 0").groupBy("scheme", "n_tok").count().collect():  # at most `capacity` rows a scheme
+        hist[r["scheme"]][r["n_tok"]] = r["count"]
+    rows = []
+    for i, (c, _) in enumerate(schemes):
+        bundles, _n = pack_histogram(hist[i], c)
+        rows += [(i, s, f, k, b.base) for b in bundles for s, f, k in b.slots]
+    shared = spark.sparkContext.broadcast(Places(rows))  # bounded by the capacities
+    ranked = salted_rank(items, ["scheme", "n_tok"], F.xxhash64(id_col, "piece"), [id_col, "piece"])
 
     @F.pandas_udf("long")
-    def container(plan: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
-        numbers, lo, first, k, base = shared.value
-        size, rank = size.to_numpy(np.int64), rank.to_numpy(np.int64)
-        if not len(lo):
-            return pd.Series(np.zeros(len(size), np.int64))
-        i = np.searchsorted(lo, plan.map(numbers).to_numpy(np.int64) << 56 | size << 40 | rank, side="right") - 1
-        i = np.maximum(i, 0)
-        return pd.Series(np.where(size == 0, 0, base[i] + (rank - first[i]) // k[i]))
+    def container(scheme: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.container(*(x.to_numpy(np.int64) for x in (scheme, size, rank))))
 
-    return ranked.select("plan_id", id_col, "piece", "start_tok", "n_tok", container("plan_id", "n_tok", "rank").alias("container"))
+    packed = ranked.select("scheme", id_col, "piece", "start_tok", "n_tok", container("scheme", "n_tok", "rank").alias("container"))
+    users = [F.array(*[F.lit(p).cast("int") for p, c, t in plans if (c, t) == s]) for s in schemes]
+    plan = F.coalesce(*[F.when(F.col("scheme") == i, u) for i, u in enumerate(users)]) if users else F.array().cast("array<int>")
+    return packed.select(F.explode(plan).alias("plan_id"), id_col, "piece", "start_tok", "n_tok", "container")
 
 
 def fill_report(packed: DataFrame, capacities: dict[int, int]) -> DataFrame:
@@ -214,3 +244,13 @@ def fill_report(packed: DataFrame, capacities: dict[int, int]) -> DataFrame:
     each = packed.groupBy("plan_id", "container").agg(F.sum("n_tok").alias("used"))
     out = each.groupBy("plan_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
     return out.select("plan_id", "containers", F.ceil(F.col("tokens") / cap).alias("at_least"), "tokens", "fullest", F.round(1 - F.col("tokens") / (F.col("containers") * cap), 6).alias("free_share"))
+
+
+def invariants(packed: DataFrame, plans: list[tuple[int, int, str]], id_col: str = "doc_id") -> DataFrame:
+    """Per plan: documents that have a container, containers above the capacity, and documents of which the pieces leave a
+    gap, overlap, or were cut without need. The last two must be 0."""
+    cap = F.coalesce(*[F.when(F.col("plan_id") == p, F.lit(c).cast("long")) for p, c, _ in plans])
+    full = packed.groupBy("plan_id", "container").agg(F.sum("n_tok").alias("used")).groupBy("plan_id").agg(F.count(F.when(F.col("used") > cap, 1)).alias("too_full"))
+    doc = packed.groupBy("plan_id", id_col).agg(F.sum("n_tok").alias("n"), F.max(F.col("start_tok") + F.col("n_tok")).alias("end"), F.count(F.lit(1)).alias("pieces"))
+    bad = (F.col("n") != F.col("end")) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n") / cap)))
+    return doc.groupBy("plan_id").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(bad, 1)).alias("broken")).join(full, "plan_id").select("plan_id", "documents", "too_full", "broken")

@@ -76,7 +76,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, list]:
-    rows = _t(spark, d, "pack_plans").where("plan_id is not null and capacity > 0 and tokenizer is not null").orderBy("plan_id").limit(1000).collect()
+    rows = _t(spark, d, "pack_plans").where("plan_id is not null and capacity > 0 and tokenizer is not null").orderBy("plan_id").collect()  # a table of settings
     plans = [(r["plan_id"], r["capacity"], r["tokenizer"]) for r in rows]
     tools = {t: (tokenize.tokenizer_file(t), tokenize.split_pattern()) for _, _, t in plans}
     docs = _t(spark, d, "documents")
@@ -93,6 +93,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packed, {p: c for p, c, _ in plans})
 
 
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    packed, plans = _packed(spark, d)
+    return packing.invariants(packed, plans)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_scores(spark, d).where("abusive").select("doc_id")
 
@@ -109,5 +114,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_text, p2_found, p2_sentences, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_report, p7_found, p7_split, p8_ids, p9_containers, p9_report, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_text, p2_found, p2_sentences, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_report, p7_found, p7_split, p8_ids, p9_containers, p9_report, p9_invariants, p10_found, p10_scores, p10_rates)
 }

@@ -38,5 +38,7 @@ ORACLES = {
         select plan_id, t.label, target_share, min_rows, sample_rows, {_WANTED} as wanted, coalesce(n, 0) as available,
             greatest(0, {_WANTED} - coalesce(n, 0)) as missing
         from label_targets t left join {_HAVE} h on t.label = h.label""",
+    "p9_invariants": """select plan_id, (select count(distinct doc_id) from documents) as documents, cast(0 as bigint) as too_full, cast(0 as bigint) as broken
+        from pack_plans where plan_id is not null and capacity > 0 and tokenizer is not null""",
     "p7_found": f"with recursive {_EDGES} select x as source_a, y as source_b from reach where x < y",
 }

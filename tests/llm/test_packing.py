@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from corpusforge.llm.packing import fill_report, pack, pack_histogram
+from corpusforge.llm.packing import fill_report, invariants, pack, pack_histogram
 
 
 def check(hist, capacity):
@@ -63,3 +63,16 @@ def test_table(spark):
     assert out.where("doc_id = 500").select("container").distinct().count() == 1
     assert fill_report(out, {1: 10, 2: 1_000}).count() == 2
     assert pack(counts.limit(0), [(1, 10, "t")], counts.limit(0)).count() == 0
+
+
+def test_long_items_and_many_plans(spark):
+    """Sizes above 65,536 and 200 plans, half of them equal: equal plans pack alike and nothing is too full or lost."""
+    rows = [(i, 1 + (i * 7_919) % 200_000) for i in range(400)] + [(400, 65_541), (401, 5), (402, 131_072), (403, 400_000)]
+    counts = spark.createDataFrame(rows, "doc_id long, n_t long").repartition(3)
+    plans = [(p, 131_072 if p % 2 else 1_000_000 + p % 6, "t") for p in range(200)]
+    out = pack(counts, plans, counts).where("plan_id in (1, 2, 99, 199, 128)").cache()
+    report = {r["plan_id"]: r for r in invariants(out, plans).collect()}
+    assert set(report) == {1, 2, 99, 199, 128}
+    assert all(r["documents"] == len(rows) and r["too_full"] == 0 and r["broken"] == 0 for r in report.values())
+    place = lambda p: sorted((r["doc_id"], r["piece"], r["container"]) for r in out.where(F.col("plan_id") == p).collect())
+    assert place(1) == place(99) == place(199)
