@@ -40,11 +40,16 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.shortfalls(_t(spark, d, "entities"), _t(spark, d, "label_targets")).where("missing > 0").select("plan_id", "label")
+    return sampling.allocate(_t(spark, d, "entities"), _t(spark, d, "label_targets")).where("missing > 0").select("plan_id", "label")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.shortfalls(_t(spark, d, "entities"), _t(spark, d, "label_targets"))
+    return sampling.allocate(_t(spark, d, "entities"), _t(spark, d, "label_targets"))
+
+
+def p3_sample_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows drawn per plan and label."""
+    return p3_sample(spark, d).groupBy("plan_id", "label").agg(F.count(F.lit(1)).alias("drawn"))
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -114,5 +119,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_text, p2_found, p2_sentences, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_report, p7_found, p7_split, p8_ids, p9_containers, p9_report, p9_invariants, p10_found, p10_scores, p10_rates)
+    for f in (p1_found, p1_text, p2_found, p2_sentences, p3_found, p3_report, p3_sample, p3_sample_counts, p4_found, p5_found, p5_report, p7_found, p7_split, p8_ids, p9_containers, p9_report, p9_invariants, p10_found, p10_scores, p10_rates)
 }

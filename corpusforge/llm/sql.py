@@ -13,6 +13,15 @@ _CASE = f"(nfc_normalize(t) <> t or regexp_matches(t, '{INVISIBLE}|{SPACES}|{_WI
 _WANTED = "greatest(coalesce(min_rows, 0), cast(floor(round(coalesce(target_share, 0) * coalesce(sample_rows, 0), 6) + 0.5) as bigint))"
 _HAVE = "(select label, count(*) as n from (select distinct label, file, ord from entities where label is not null) group by label)"
 
+_QUOTAS = f"""
+    t as (select plan_id, t.label, target_share, min_rows, sample_rows, {_WANTED} as wanted, coalesce(n, 0) as available, greatest(0, round(coalesce(target_share, 0) * coalesce(sample_rows, 0), 6)) as ideal
+        from label_targets t left join {_HAVE} h on t.label = h.label),
+    b as (select *, cast(greatest(coalesce(min_rows, 0), floor(ideal)) as bigint) as base from t),
+    s as (select *, least(coalesce(sample_rows, 0), cast(floor(sum(ideal) over p + 0.5) as bigint)) - sum(base) over p as spare, ideal > floor(ideal) and base = floor(ideal) and base < available as may
+        from b window p as (partition by plan_id, sample_rows)),
+    r as (select *, row_number() over (partition by plan_id, sample_rows order by may desc, ideal - floor(ideal) desc, label) as place from s),
+    quotas as (select *, cast(least(available, base + case when may and place <= spare then 1 else 0 end) as bigint) as quota from r)"""
+
 _EDGES = """
     own as (select distinct source as node, 's' || chr(31) || source as key from conll_tokens where source is not null),
     editors as (select o.node, 'e' || chr(31) || w.main_editor as key from works w join own o on o.node = w.source
@@ -34,10 +43,8 @@ ORACLES = {
         union all select 'documents', doc_id from (select doc_id, text as t from documents) where {_CASE}""",
     "p3_found": f"""
         select plan_id, t.label from label_targets t left join {_HAVE} h on t.label = h.label where {_WANTED} > coalesce(n, 0)""",
-    "p3_report": f"""
-        select plan_id, t.label, target_share, min_rows, sample_rows, {_WANTED} as wanted, coalesce(n, 0) as available,
-            greatest(0, {_WANTED} - coalesce(n, 0)) as missing
-        from label_targets t left join {_HAVE} h on t.label = h.label""",
+    "p3_report": f"with {_QUOTAS} select plan_id, label, target_share, min_rows, sample_rows, wanted, available, greatest(0, wanted - available) as missing, quota from quotas",
+    "p3_sample_counts": f"with {_QUOTAS} select plan_id, label, max(quota) as drawn from quotas where quota > 0 and label is not null and plan_id is not null group by all",
     "p9_invariants": """select plan_id, (select count(distinct doc_id) from documents) as documents, cast(0 as bigint) as too_full, cast(0 as bigint) as broken
         from pack_plans where plan_id is not null and capacity > 0 and tokenizer is not null""",
     "p7_found": f"with recursive {_EDGES} select x as source_a, y as source_b from reach where x < y",
