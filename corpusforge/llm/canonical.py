@@ -26,19 +26,24 @@ OWN_TWINS = {"ɑ": "a", "ɡ": "g", "ɩ": "i", "Đ": "Ð", "Ɖ": "Ð", "ʜ": "h"}
 #: Characters without a shape, and spaces other than U+0020.
 INVISIBLE = r"[\x{AD}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}]"
 SPACES = r"[\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
-#: Blocks with wide, narrow and ligated forms of letters and digits; their plain forms follow from Unicode.
-COMPAT_BLOCKS = ((0xFB00, 0xFB06), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFFDC), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x1D400, 0x1D7FF))
+#: Blocks with wide, narrow, ligated, enclosed and positional forms of letters and digits; their plain forms follow from
+#: Unicode. Fractions (½) are not among them: their plain form is three characters that look otherwise.
+COMPAT_BLOCKS = ((0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2100, 0x214F), (0x2160, 0x2188), (0x2460, 0x24FF), (0x3371, 0x33DF),
+                 (0xFB00, 0xFB4F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0xFF66, 0xFFDC), (0x1D400, 0x1D7FF), (0x1F130, 0x1F149))
 
 
 def compat_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """(from, to, ligatures): single characters with a plain form of one character, and those with a longer one."""
+    """(from, to, ligatures): single characters with a plain form of one character, and those with a longer one. Only
+    forms of which the plain one is letters, digits and blanks inside count (so ⑴ and a lone positional mark do not)."""
     one: dict[str, str] = {}
     many: list[tuple[str, str]] = []
     for lo, hi in COMPAT_BLOCKS:
         for o in range(lo, hi + 1):
             c = chr(o)
+            if o < 0x2150 and unicodedata.category(c)[0] not in "LN":
+                continue  # signs such as № and ™ are no letters
             plain = "ſt" if o == 0xFB05 else unicodedata.normalize("NFKC", c)
-            if plain == c or unicodedata.category(c)[0] not in "LN":
+            if plain in (c, unicodedata.normalize("NFC", c)) or plain.strip() != plain or not all(x == " " or unicodedata.category(x)[0] in "LMN" for x in plain):
                 continue
             (many.append((c, plain)) if len(plain) > 1 else one.__setitem__(c, plain))
     return "".join(one), "".join(one.values()), many
@@ -67,13 +72,13 @@ def _q(s: str) -> str:
 
 def canonical_sql(table: str = "batch") -> str:
     """SQL over a table (k, text) that gives (k, text, changed)."""
-    one, to, many = compat_tables()
+    one, to, _ = compat_tables()
     t = _twin_tables()
     plain = f"regexp_replace(regexp_replace(s0, '{INVISIBLE}', '', 'g'), '{SPACES}', ' ', 'g')"
     compat_class = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in COMPAT_BLOCKS) + "]"
-    compat = "translate(s1, " + _q(one) + ", " + _q(to) + ")"
-    for c, p in many:
-        compat = f"replace({compat}, {_q(c)}, {_q(p)})"
+    # of the ligatures only those that a text holds are replaced in it
+    held = "list_filter(getvariable('ligatures'), lambda p: contains(s1, p.c))"
+    compat = f"list_reduce(list_prepend({{'c': translate(s1, {_q(one)}, {_q(to)}), 'p': ''}}, {held}), lambda x, p: {{'c': replace(x.c, p.c, p.p), 'p': ''}}).c"
     own = f"translate(w, {_q(''.join(OWN_TWINS))}, {_q(''.join(OWN_TWINS.values()))})"
     strict = {
         "lat": f"regexp_matches(translate(w, {_q(t['lat_c'] + t['lat_g'])}, ''), '\\p{{Latin}}')",
@@ -101,6 +106,11 @@ def canonical_sql(table: str = "batch") -> str:
         select k, s4 as text, coalesce(s4 <> text, false) as changed from e order by k"""
 
 
+def ligatures_sql() -> str:
+    """The statement that gives a connection the table of forms with a longer plain form."""
+    return "set variable ligatures = [" + ", ".join(f"{{'c': {_q(c)}, 'p': {_q(p)}}}" for c, p in compat_tables()[2]) + "]"
+
+
 def canonical_text(df: DataFrame, text_col: str = "text", out_col: str = "canonical") -> DataFrame:
     """df with `out_col` (the text in its consistent form) and `changed` (whether it differs from the text).
 
@@ -112,10 +122,11 @@ def canonical_text(df: DataFrame, text_col: str = "text", out_col: str = "canoni
     base = df.select(*keep)
     schema = base.select(*keep, F.lit("").alias(out_col), F.lit(True).alias("changed")).schema
     schema[out_col].nullable = True
-    sql, at = canonical_sql(), keep.index(text_col)
+    sql, ligatures, at = canonical_sql(), ligatures_sql(), keep.index(text_col)
 
     def run(batches):
         con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        con.execute(ligatures)
         for b in batches:
             part = pa.table({"k": pa.array(range(b.num_rows), pa.int64()), "text": b.column(at).cast(pa.string())})
             con.register("batch", part)

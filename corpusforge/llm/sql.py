@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from corpusforge.llm.canonical import INVISIBLE, OWN_TWINS, SPACES
-
-_WIDE = r"[\x{FB00}-\x{FB06}\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{FF9D}\x{0132}\x{0133}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{1D400}-\x{1D7CB}\x{1D7CE}-\x{1D7FF}]"
+#: Fixed values, stated here again so that the SQL does not follow the operator's own tables.
+INVISIBLE = r"[\x{AD}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{FFF9}-\x{FFFB}]"
+SPACES = r"[\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+OWN_TWINS = "ɑɡɩĐƉʜ"
+_WIDE = (r"[\x{132}\x{133}\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}\x{2102}\x{2107}\x{210A}-\x{2113}\x{2115}\x{2119}-\x{211D}\x{2124}\x{2128}\x{212C}\x{212D}\x{212F}-\x{2131}\x{2133}-\x{2139}\x{213C}-\x{213F}\x{2145}-\x{2149}"
+         r"\x{2160}-\x{217F}\x{2460}-\x{2473}\x{24B6}-\x{24EA}\x{3371}-\x{33A6}\x{33A9}-\x{33AD}\x{33B0}-\x{33C1}\x{33C3}-\x{33C5}\x{33C8}-\x{33D7}\x{33D9}-\x{33DD}"
+         r"\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}\x{FB20}-\x{FB28}\x{FB4F}-\x{FBB1}\x{FBD3}-\x{FC5D}\x{FC64}-\x{FD3D}\x{FD50}-\x{FD8F}\x{FD92}-\x{FDC7}\x{FDF0}-\x{FDFC}\x{FE71}\x{FE77}\x{FE79}\x{FE7B}\x{FE7D}\x{FE7F}-\x{FEFC}"
+         r"\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{FF66}-\x{FFBE}\x{FFC2}-\x{FFC7}\x{FFCA}-\x{FFCF}\x{FFD2}-\x{FFD7}\x{FFDA}-\x{FFDC}\x{1D400}-\x{1D7CB}\x{1D7CE}-\x{1D7FF}\x{1F130}-\x{1F149}]")
 _OFF = r"[\p{M}\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]*"
-_MIXED = f"\\p{{Latin}}{_OFF}[\\p{{Cyrillic}}\\p{{Greek}}]|\\p{{Cyrillic}}{_OFF}[\\p{{Latin}}\\p{{Greek}}]|\\p{{Greek}}{_OFF}[\\p{{Latin}}\\p{{Cyrillic}}]|[{''.join(OWN_TWINS)}]"
+_MIXED = f"\\p{{Latin}}{_OFF}[\\p{{Cyrillic}}\\p{{Greek}}]|\\p{{Cyrillic}}{_OFF}[\\p{{Latin}}\\p{{Greek}}]|\\p{{Greek}}{_OFF}[\\p{{Latin}}\\p{{Cyrillic}}]|[{OWN_TWINS}]"
 
 _CASE = f"(nfc_normalize(t) <> t or regexp_matches(t, '{INVISIBLE}|{SPACES}|{_WIDE}|{_MIXED}'))"
 
