@@ -66,8 +66,20 @@ def test_reviews_of_the_project(spark, sf_dir):
     random.Random(3).shuffle(rows)
     cut = len(rows) * 4 // 5
     m, r = abuse.fit(rows[:cut]), abuse.Reader()
-    hit = 0
-    for t, y in rows[cut:]:
-        p = max((float(m.score(np.asarray(x), np.array([0]))[0]) for x in r.sentences(t)), default=0.0)
-        hit += (p >= m.threshold) == y
-    assert hit / (len(rows) - cut) >= 0.85
+
+    def hits(m):
+        return sum((max((float(m.score(np.asarray(x), np.array([0]))[0]) for x in r.sentences(t)), default=0.0) >= m.threshold) == y for t, y in rows[cut:])
+
+    whole, linear = hits(m), hits(m.linear())
+    assert whole / (len(rows) - cut) >= 0.85
+    assert whole > linear  # the pairs do part of the work
+
+
+def test_sparse_rows_equal_dense_ones():
+    rng = np.random.default_rng(2)
+    dense = rng.random((40, 30)) < 0.2
+    rows = abuse.Rows.of(*np.nonzero(dense), 40)
+    x, g = rng.normal(size=(30, 4)), rng.normal(size=(40, 3))
+    assert np.allclose(rows.sums(x), dense @ x) and np.allclose(rows.back(g, 30), dense.T @ g)
+    some = rng.integers(0, 40, 55)
+    assert np.allclose(rows.take(some).sums(x), dense[some] @ x) and len(rows.take(some)) == 55
