@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
+import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +16,11 @@ from corpusforge.runtime import cut
 
 MIN_TOKENS = 8
 MAX_EDITS = 2
+SKETCH_BITS = 22  # the sketch of evaluation shingles has this many bits of places, one byte each, whatever the data
+SLICES = 64  # parts in which the sketch is added up
+HOT = 16  # shingles more frequent than this are joined by length and place as well
+BROADCAST_IDS = 1_000_000  # the most ids (8 bytes each) of texts that are broadcast to find their words; more are joined by shuffle
+SEP, NULL = "\x1f", "\x00"
 
 
 def plain_token(token: str | None) -> str | None:
@@ -48,111 +57,258 @@ def edits_within(a: list, b: list, most: int) -> bool:
     return row[-1] <= most
 
 
+def _runs(batches):
+    """Neighbouring rows of one sentence with consecutive places as one row: fewer rows and bytes to shuffle."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sent, tok = b.column(0).to_numpy(), b.column(2).to_numpy()
+        split = b.column(1).dictionary_encode()
+        code = split.indices.to_numpy()
+        source = b.column(4).fill_null(NULL).dictionary_encode()
+        scode = source.indices.to_numpy()
+        new = np.r_[True, (sent[1:] != sent[:-1]) | (code[1:] != code[:-1]) | (tok[1:] != tok[:-1] + 1) | (scode[1:] != scode[:-1])]
+        at = np.flatnonzero(new)
+        token = pc.replace_substring(b.column(3).fill_null(NULL), SEP, "\ue01f")
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(sent)], pa.int32()), token)
+        take = pa.array(at)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(4).take(take), b.column(2).take(take), pc.binary_join(lists, SEP)], names=["sent_id", "split", "source", "first", "tokens"])
+
+
+SENTENCES = "sent_id long, split string, source string, words string, n int, text_id binary, t long"
+
+
+def _assembled(batches):
+    """Sentences from their runs, sorted by sentence and split."""
+    seen: dict[str, str | None] = {}
+
+    def plain(w: str) -> str | None:
+        if w not in seen:
+            if len(seen) > 500_000:
+                seen.clear()
+            seen[w] = None if w == NULL else plain_token(w)
+        return seen[w]
+
+    def finish(key, source, runs, out):
+        if len(runs) == 1:
+            raw = runs[0][1].split(SEP)
+        else:
+            place: dict[int, str] = {}
+            for first, tokens in runs:
+                for i, w in enumerate(tokens.split(SEP), first):
+                    old = place.get(i, NULL)
+                    if old == NULL or w != NULL and w < old:
+                        place[i] = w
+            raw = [w for _, w in sorted(place.items())]
+        words = [p for w in raw if (p := plain(w)) is not None]
+        text = SEP.join(words)
+        digest = hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+        for c, x in zip(out, (*key, source, text, len(words), digest, int.from_bytes(digest[:8], "big", signed=True))):
+            c.append(x)
+
+    def batch(out):
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["sent_id", "split", "source", "words", "n", "text_id", "t"])
+
+    key, source, runs = None, None, []
+    for b in batches:
+        out: tuple = ([], [], [], [], [], [], [])
+        for sent, split, src, first, tokens in zip(*[b.column(i).to_pylist() for i in range(5)]):
+            if (sent, split) != key:
+                if key is not None:
+                    finish(key, source, runs, out)
+                key, source, runs = (sent, split), src, []
+            elif src is not None and (source is None or src < source):
+                source = src
+            runs.append((first, tokens))
+        yield batch(out)
+    if key is not None:
+        out = ([], [], [], [], [], [], [])
+        finish(key, source, runs, out)
+        yield batch(out)
+
+
 def sentences(tokens: DataFrame, sent: str = "sent_id", tok: str = "tok_id", token: str = "token", split: str = "split", source: str = "source") -> DataFrame:
-    """(sent_id, split, source, words, n, text_id): one row per sentence with its plain tokens in order.
+    """(sent_id, split, source, words, n, text_id, t): one row per sentence; words are its plain tokens in order, joined.
 
-    Tokens delivered again (same sentence and place) count once; null tokens are left out. Sentences of which the split
-    is neither train, dev nor test are left out. text_id is a digest (16 bytes) of the plain tokens: equal for equal sentences.
+    Tokens delivered again (same sentence and place) count once, with the least token that is not null; null tokens are
+    left out, and so are tokens without a place, which have no order. Sentences of which the split is neither train, dev
+    nor test are left out; a sentence in two splits is a sentence of each. text_id is a digest (16 bytes) of the words, t
+    its first half. Tokens are laid together before the shuffle, so a sentence moves as one string.
     """
-    t = tokens.where(F.col(split).isin("train", "dev", "test") & F.col(sent).isNotNull())
-    places = F.array_sort(F.collect_set(F.struct(F.col(tok).alias("i"), F.col(token).alias("t"))))
-    s = t.groupBy(F.col(sent).alias("sent_id"), F.col(split).alias("split")).agg(F.min(source).alias("source"), places.alias("p"))
-    first = F.filter("p", lambda x, i: (i == 0) | (F.element_at("p", i) ["i"] < x["i"]))
-    s = s.select("sent_id", "split", "source", F.transform(first, lambda x: x["t"]).alias("raw"))
-
-    def run(batches):
-        seen: dict = {}
-        for b in batches:
-            out = []
-            for raw in b.column(3).to_pylist():
-                ws = []
-                for w in raw:
-                    if w not in seen:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen[w] = plain_token(w)
-                    if seen[w] is not None:
-                        ws.append(seen[w])
-                out.append(ws)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(pa.string()))], names=["sent_id", "split", "source", "words"])
-
-    s = s.mapInArrow(run, "sent_id long, split string, source string, words array<string>")
-    return s.withColumn("n", F.size("words")).withColumn("text_id", F.unhex(F.md5(F.array_join("words", "\x1f"))))
-
-
-def _shingles(batches):
-    """Per text its distinct pairs of neighbouring tokens (hashed) with first and last place and number."""
-    kind = pa.list_(pa.struct([("g", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("times", pa.int32())]))
-    for b in batches:
-        out = []
-        for words in b.column("words").to_pylist():
-            seen: dict = {}
-            for i in range(len(words) - 1):
-                w = f"{words[i]}\x1f{words[i + 1]}"
+    rows = tokens.where(F.col(split).isin("train", "dev", "test") & F.col(sent).isNotNull() & F.col(tok).isNotNull())
+    rows = rows.select(F.col(sent).cast("long"), F.col(split), F.col(tok).cast("long"), F.col(token).cast("string"), F.col(source).cast("string"))
+    runs = rows.mapInArrow(_runs, "sent_id long, split string, source string, first long, tokens string")
+    return runs.repartition(F.col("sent_id")).sortWithinPartitions("sent_id", "split").mapInArrow(_assembled, SENTENCES)
+
+
+class Shingler:
+    """Hashed pairs of neighbouring tokens of a batch of texts."""
+
+    def __init__(self):
+        self.seen: dict[str, int] = {}
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, shingle) of all shingles, text by text."""
+        seen, h, n = self.seen, [], []
+        if len(seen) > 500_000:
+            seen.clear()
+        for text in words:
+            ws = text.split(SEP)
+            n.append(len(ws))
+            for w in ws:
                 x = seen.get(w)
                 if x is None:
-                    seen[w] = [i, i, 1]
-                else:
-                    x[1], x[2] = i, x[2] + 1
-            out.append([{"g": xxhash.xxh64_intdigest(w) - (1 << 63), "lo": lo, "hi": hi, "times": k} for w, (lo, hi, k) in seen.items()])
-        n = pa.array([len(w) for w in b.column("words").to_pylist()], pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("text_id"), n, b.column("in_train"), b.column("in_eval"), pa.array(out, kind)], names=["text_id", "n", "in_train", "in_eval", "x"])
+                    x = seen[w] = xxhash.xxh64_intdigest(w)
+                h.append(x)
+        h, n = np.array(h, np.uint64), np.array(n, np.int64)
+        text = np.repeat(np.arange(len(n)), n)
+        g = _mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+        inside = text[1:] == text[:-1]
+        start = np.r_[0, np.cumsum(n)[:-1]] if len(n) else np.zeros(0, np.int64)
+        at = np.flatnonzero(inside)
+        return text[at], at - start[text[at]], g[at]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
 
+def _bucket(g: np.ndarray, size: int) -> np.ndarray:
+    return (g >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
-def class_pairs(sents: DataFrame, min_tokens: int = MIN_TOKENS, most: int = MAX_EDITS) -> DataFrame:
-    """(train_text, eval_text): pairs of different texts within `most` token edits, one side in train, one in dev or test.
 
-    Equal sentences form one text first, so copies cost nothing here. Shingles are pairs of neighbouring tokens: an edit
-    destroys two at most, so two texts within `most` edits share one of their 2 * most + 1 rarest shingles (the order is
-    global: documents with the shingle, then its hash). Prefixes of evaluation texts are the index, prefixes of training
-    texts probe it under filters of length and place, and candidates are verified. Exact; needs min_tokens > 2 * most + 1.
+def evaluation_sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """How often the shingles of the evaluation texts occur, up to 255, by the first `bits` bits of their hash.
+
+    A shingle whose place is 0 is in no evaluation text. The size is fixed; at a full sketch the order of shingles gets
+    coarser and fewer of them are left out, the result stays exact.
+    """
+    whole, size = 1 << bits, (1 << bits) // SLICES
+
+    def count(batches):
+        total, shingles = np.zeros(whole, np.uint8), Shingler()
+        any_ = False
+        for b in batches:
+            if b.num_rows:
+                any_ = True
+                at, n = np.unique(_bucket(shingles(b.column(0).to_pylist())[2], whole), return_counts=True)
+                total[at] = np.minimum(255, total[at].astype(np.int64) + n)
+        if any_:
+            parts = [zlib.compress(total[i * size : (i + 1) * size].tobytes(), 1) for i in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for c in table.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(c), np.uint8)
+        return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([np.minimum(255, total).astype(np.uint8).tobytes()], pa.binary())})
+
+    parts = texts.where("split <> 'train'").select("words").mapInArrow(count, "slice int, counts binary")
+    out = np.zeros(whole, np.uint8)
+    for r in parts.groupBy("slice").applyInArrow(add, "slice int, counts binary").collect():  # 2^bits bytes in all
+        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
+def join_keys(texts: list[str], evaluation: bool, sketch: np.ndarray, most: int, shingles: Shingler, hot_from: int = HOT) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the prefix of each text: its 2 * most + 1 rarest shingles, by the sketch, then by hash.
+
+    A rare shingle is a key by itself. A hot one is a key with the number of tokens and the place; evaluation texts offer
+    every number and place that `most` edits leave possible. Training shingles that no evaluation text has give no key.
+    """
+    text, place, g = shingles(texts)
+    n = np.bincount(text, minlength=len(texts)) + 1
+    seen = sketch[_bucket(g, len(sketch))]
+    order = np.lexsort((place, g, seen, text))
+    text, place, g, seen = text[order], place[order], g[order], seen[order]
+    start = np.searchsorted(text, np.arange(len(texts)))
+    rank = np.arange(len(text)) - start[text]
+    same = np.r_[False, (text[1:] == text[:-1]) & (g[1:] == g[:-1])]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(text)))) if len(text) else np.zeros(0, np.int64)
+    use = rank[head] < 2 * most + 1 if len(text) else np.zeros(0, bool)  # all places of a shingle whose first one is in the prefix
+    if not evaluation:
+        use &= seen > 0
+    cold = use & ~same & (seen <= hot_from)
+    hot = np.flatnonzero(use & (seen > hot_from))
+    row, key = [text[cold]], [g[cold]]
+    moves = [(s, d) for s in range(-most, most + 1) for d in range(-most, most + 1) if abs(s) + abs(d - s) <= most] if evaluation else [(0, 0)]
+    for s, d in moves:
+        row.append(text[hot])
+        key.append(_mix(g[hot] ^ ((n[text[hot]] + d) * 1_000_003 + place[hot] + s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return np.concatenate(row), np.concatenate(key)
+
+
+def class_pairs(sents: DataFrame, min_tokens: int = MIN_TOKENS, most: int = MAX_EDITS, bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
+    """(train_text, eval_text): pairs of texts within `most` token edits, one side in train, one in dev or test; a text that
+    is on both sides is paired with itself.
+
+    Shingles are pairs of neighbouring tokens: an edit destroys two at most, so two texts within `most` edits share one of
+    their 2 * most + 1 rarest shingles, whatever the order that says which are rare, if it is the same for all. The order
+    comes from a sketch of the evaluation shingles, of fixed size and broadcast, so that each text chooses its prefix in
+    its own task and most training texts offer no key at all. Keys travel with eight bytes for the text; only texts of a
+    candidate pair are looked up and verified. Copies of a text meet as one. Exact; needs min_tokens > 2 * most + 1.
     """
     if min_tokens < 2 * most + 2:
         raise ValueError("texts this short may share no shingle")
-    texts = sents.where(F.col("n") >= min_tokens).groupBy("text_id").agg(
-        F.first("words").alias("words"), F.max((F.col("split") == "train").cast("int")).alias("in_train"), F.max((F.col("split") != "train").cast("int")).alias("in_eval"))
-    texts = cut(texts)
-    grams = texts.mapInArrow(_shingles, "text_id binary, n int, in_train int, in_eval int, x array<struct<g: bigint, lo: int, hi: int, times: int>>")
-    grams = grams.select("text_id", "n", "in_train", "in_eval", F.explode("x").alias("x")).select("text_id", "n", "in_train", "in_eval", "x.*")
-    often = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    k = 2 * most + 1
-    rare = F.sort_array(F.collect_list(F.struct("df", "g", "lo", "hi", "times")))
-    prefix = grams.join(often, "g").groupBy("text_id", "n", "in_train", "in_eval").agg(rare.alias("r"))
-    # repeated shingles count as often as they occur: the prefix ends with the k-th occurrence
-    upto = F.filter("r", lambda x, i: F.aggregate(F.slice("r", 1, i), F.lit(0).cast("long"), lambda s, y: s + y["times"]) < k)
-    prefix = cut(prefix.select("text_id", "n", "in_train", "in_eval", F.explode(upto).alias("x")).select("text_id", "n", "in_train", "in_eval", "x.g", "x.lo", "x.hi"))
-    index = prefix.where("in_eval = 1").select(F.col("text_id").alias("eval_text"), F.explode(F.sequence(F.col("n") - most, F.col("n") + most)).alias("n"), "g", F.col("lo").alias("elo"), F.col("hi").alias("ehi"))
-    probe = prefix.where("in_train = 1").select(F.col("text_id").alias("train_text"), "n", "g", "lo", "hi")
-    near = (F.col("lo") <= F.col("ehi") + most) & (F.col("elo") <= F.col("hi") + most) & (F.col("train_text") != F.col("eval_text"))
-    cand = probe.join(index, ["g", "n"]).where(near).select("train_text", "eval_text").distinct()
-    words = texts.select(F.col("text_id"), "words")
-    cand = cand.join(words.select(F.col("text_id").alias("train_text"), F.col("words").alias("a")), "train_text")
-    cand = cand.join(words.select(F.col("text_id").alias("eval_text"), F.col("words").alias("b")), "eval_text")
+    spark = sents.sparkSession
+    texts = sents.where(F.col("n") >= min_tokens)
+    shared = spark.sparkContext.broadcast(evaluation_sketch(texts, bits))
+
+    def keys(evaluation: bool):
+        def run(batches):
+            shingles = Shingler()
+            for b in batches:
+                t = b.column(0)
+                first = np.unique(t.to_numpy(), return_index=True)[1]  # copies in a batch count once
+                part = b.take(pa.array(np.sort(first)))
+                row, key = join_keys(part.column(2).to_pylist(), evaluation, shared.value, most, shingles, hot)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(at), part.column(1).take(at)], names=["k", "t", "n"])
+
+        return run
+
+    kind = "k long, t long, n int"
+    train = texts.where("split = 'train'").select("t", "n", "words").mapInArrow(keys(False), kind).distinct()
+    other = texts.where("split <> 'train'").select("t", "n", "words").mapInArrow(keys(True), kind).distinct()
+    other = other.select("k", F.col("t").alias("e"), F.col("n").alias("m"))
+    cand = cut(train.join(other, "k").where(F.abs(F.col("n") - F.col("m")) <= most).select("t", "e").distinct())
+    found = lookup(texts, cand.select("t").union(cand.select("e")), "t").select("t", "text_id", "words").distinct()
+    left = found.select("t", F.col("text_id").alias("train_text"), F.col("words").alias("a"))
+    right = found.select(F.col("t").alias("e"), F.col("text_id").alias("eval_text"), F.col("words").alias("b"))
 
     def verify(batches):
         for b in batches:
-            ok = [edits_within(x, y, most) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            ok = [edits_within(x.split(SEP), y.split(SEP), most) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select(["train_text", "eval_text"]).filter(pa.array(ok, pa.bool_()))
 
-    return cand.select("train_text", "eval_text", "a", "b").mapInArrow(verify, "train_text binary, eval_text binary")
+    pairs = cand.join(left, "t").join(right, "e").select("train_text", "eval_text", "a", "b")
+    return pairs.mapInArrow(verify, "train_text binary, eval_text binary")
 
 
-def linked_texts(sents: DataFrame, min_tokens: int = MIN_TOKENS, most: int = MAX_EDITS) -> DataFrame:
-    """class_pairs together with the texts that are in train and in dev or test unchanged."""
-    both = sents.where(F.col("n") >= min_tokens).groupBy("text_id").agg(F.max((F.col("split") == "train").cast("int")).alias("t"), F.max((F.col("split") != "train").cast("int")).alias("e"))
-    same = both.where("t = 1 and e = 1").select(F.col("text_id").alias("train_text"), F.col("text_id").alias("eval_text"))
-    return class_pairs(sents, min_tokens, most).unionByName(same)
+def lookup(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is among ids: by broadcast if these are BROADCAST_IDS at most, else by a join."""
+    ids = ids.toDF(key).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
+def _linked(tokens: DataFrame, cols: dict) -> tuple[DataFrame, DataFrame]:
+    s = cut(sentences(tokens, **cols))
+    return s, cut(class_pairs(s))
 
 
 def overlap_pairs(tokens: DataFrame, **cols) -> DataFrame:
     """(sent_a, sent_b), the smaller first: all pairs of a train and a dev or test sentence that are alike.
 
+    The answer is pairs, so equal texts are written out for their sentences; overlap_report has the counts without that.
     Empty tables and tables with one split give no rows; extra columns are ignored.
     """
-    s = cut(sentences(tokens, **cols))
-    links = linked_texts(s)
-    train = s.where("split = 'train'").select(F.col("text_id").alias("train_text"), F.col("sent_id").alias("x"))
-    other = s.where("split <> 'train'").select(F.col("text_id").alias("eval_text"), F.col("sent_id").alias("y"))
+    s, links = _linked(tokens, cols)
+    mine = lookup(s, links.select("train_text").union(links.select("eval_text")), "text_id")
+    train = mine.where("split = 'train'").select(F.col("text_id").alias("train_text"), F.col("sent_id").alias("x"))
+    other = mine.where("split <> 'train'").select(F.col("text_id").alias("eval_text"), F.col("sent_id").alias("y"))
     out = links.join(train, "train_text").join(other, "eval_text")
     return out.select(F.least("x", "y").alias("sent_a"), F.greatest("x", "y").alias("sent_b")).distinct()
 
@@ -160,9 +316,8 @@ def overlap_pairs(tokens: DataFrame, **cols) -> DataFrame:
 def overlap_report(tokens: DataFrame, **cols) -> DataFrame:
     """(split, source, sentences, overlapping, pairs) for dev and test: sentences, those with a partner in train, and
     the number of pairs. Counts are taken on texts, pairs are not written out."""
-    s = cut(sentences(tokens, **cols))
-    links = linked_texts(s)
-    copies = s.where("split = 'train'").groupBy(F.col("text_id").alias("train_text")).agg(F.count(F.lit(1)).alias("c"))
+    s, links = _linked(tokens, cols)
+    copies = lookup(s, links.select("train_text"), "text_id").where("split = 'train'").groupBy(F.col("text_id").alias("train_text")).agg(F.count(F.lit(1)).alias("c"))
     hits = links.join(copies, "train_text").groupBy(F.col("eval_text").alias("text_id")).agg(F.sum("c").alias("partners"))
     return s.where("split <> 'train'").join(hits, "text_id", "left").groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("sentences"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))

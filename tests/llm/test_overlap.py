@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from corpusforge.llm.overlap import edits_within, overlap_pairs, overlap_report, plain_token
+from corpusforge.llm.overlap import edits_within, overlap_pairs, overlap_report, plain_token, sentences
 
 
 def edits(a, b):
@@ -73,3 +73,26 @@ def test_empty(spark):
     _, df = data(spark)
     assert overlap_pairs(df.limit(0)).count() == 0
     assert overlap_pairs(df.where("split = 'train'")).count() == 0
+
+
+def test_hot_shingles_and_small_sketch_change_nothing(spark, monkeypatch):
+    import corpusforge.llm.overlap as overlap
+
+    s = sentences(data(spark, 4)[1]).cache()
+    links = lambda **k: {tuple(r) for r in overlap.class_pairs(s, **k).collect()}
+    want = links()
+    assert len(want) > 30
+    assert links(hot=0) == want  # all keys with length and place
+    assert links(bits=6) == want and links(bits=6, hot=3) == want  # a full sketch
+    monkeypatch.setattr(overlap, "BROADCAST_IDS", 1)
+    assert links() == want  # joins by shuffle
+
+
+def test_places_delivered_with_and_without_a_token(spark):
+    base = "ein tva tri fjora fimm sex sjau atta niu".split()
+    rows = [(1, i, w, "train", "s") for i, w in enumerate(base)] + [(1, 0, None, "train", "s"), (1, None, "auka", "train", "s")]
+    rows += [(2, i, w, "dev", None) for i, w in enumerate(base[:7] + ["annat", "enn"])]
+    df = spark.createDataFrame(rows, "sent_id long, tok_id int, token string, split string, source string")
+    assert [tuple(r) for r in overlap_pairs(df).collect()] == [(1, 2)]
+    words = {r["sent_id"]: r["words"].split("\x1f") for r in sentences(df).collect()}
+    assert words[1] == base
