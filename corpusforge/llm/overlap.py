@@ -148,8 +148,9 @@ class Shingler:
     def __init__(self):
         self.seen: dict[str, int] = {}
 
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, place, shingle) of all shingles, text by text."""
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, shingle) of all shingles, text by text, and of each text which of 64 kinds of tokens are odd in
+        number. An edit changes the kinds of two tokens at most, so texts within k edits differ in 2 * k kinds at most."""
         seen, h, n = self.seen, [], []
         if len(seen) > 500_000:
             seen.clear()
@@ -167,7 +168,8 @@ class Shingler:
         inside = text[1:] == text[:-1]
         start = np.r_[0, np.cumsum(n)[:-1]] if len(n) else np.zeros(0, np.int64)
         at = np.flatnonzero(inside)
-        return text[at], at - start[text[at]], g[at]
+        odd = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start) if len(n) else np.zeros(0, np.uint64)
+        return text[at], at - start[text[at]], g[at], odd
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -212,13 +214,13 @@ def evaluation_sketch(texts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     return out
 
 
-def join_keys(texts: list[str], evaluation: bool, sketch: np.ndarray, most: int, shingles: Shingler, hot_from: int = HOT) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the prefix of each text: its 2 * most + 1 rarest shingles, by the sketch, then by hash.
+def join_keys(texts: list[str], evaluation: bool, sketch: np.ndarray, most: int, shingles: Shingler, hot_from: int = HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key) and `odd` (see Shingler) of the prefix of each text: its 2 * most + 1 rarest shingles, by the sketch, then by hash.
 
     A rare shingle is a key by itself. A hot one is a key with the number of tokens and the place; evaluation texts offer
     every number and place that `most` edits leave possible. Training shingles that no evaluation text has give no key.
     """
-    text, place, g = shingles(texts)
+    text, place, g, odd = shingles(texts)
     n = np.bincount(text, minlength=len(texts)) + 1
     seen = sketch[_bucket(g, len(sketch))]
     order = np.lexsort((place, g, seen, text))
@@ -237,7 +239,8 @@ def join_keys(texts: list[str], evaluation: bool, sketch: np.ndarray, most: int,
     for s, d in moves:
         row.append(text[hot])
         key.append(_mix(g[hot] ^ ((n[text[hot]] + d) * 1_000_003 + place[hot] + s).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return np.concatenate(row), np.concatenate(key)
+    row = np.concatenate(row)
+    return row, np.concatenate(key), odd[row]
 
 
 def class_pairs(sents: DataFrame, min_tokens: int = MIN_TOKENS, most: int = MAX_EDITS, bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
@@ -258,22 +261,28 @@ def class_pairs(sents: DataFrame, min_tokens: int = MIN_TOKENS, most: int = MAX_
 
     def keys(evaluation: bool):
         def run(batches):
-            shingles = Shingler()
+            shingles, seen = Shingler(), set()
             for b in batches:
-                t = b.column(0)
-                first = np.unique(t.to_numpy(), return_index=True)[1]  # copies in a batch count once
-                part = b.take(pa.array(np.sort(first)))
-                row, key = join_keys(part.column(2).to_pylist(), evaluation, shared.value, most, shingles, hot)
+                if len(seen) > 500_000:
+                    seen.clear()
+                ids, fresh = b.column(0).to_pylist(), []
+                for i, t in enumerate(ids):  # copies count once
+                    if t not in seen:
+                        seen.add(t)
+                        fresh.append(i)
+                part = b.take(pa.array(fresh, pa.int64()))
+                row, key, odd = join_keys(part.column(2).to_pylist(), evaluation, shared.value, most, shingles, hot)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(at), part.column(1).take(at)], names=["k", "t", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(odd.view(np.int64))], names=["k", "t", "n", "odd"])
 
         return run
 
-    kind = "k long, t long, n int"
-    train = texts.where("split = 'train'").select("t", "n", "words").mapInArrow(keys(False), kind).distinct()
-    other = texts.where("split <> 'train'").select("t", "n", "words").mapInArrow(keys(True), kind).distinct()
-    other = other.select("k", F.col("t").alias("e"), F.col("n").alias("m"))
-    cand = cut(train.join(other, "k").where(F.abs(F.col("n") - F.col("m")) <= most).select("t", "e").distinct())
+    kind = "k long, t long, n int, odd long"
+    train = texts.where("split = 'train'").select("t", "n", "words").mapInArrow(keys(False), kind).repartition(F.col("k"))
+    other = texts.where("split <> 'train'").select("t", "n", "words").mapInArrow(keys(True), kind).repartition(F.col("k")).distinct()
+    other = other.select("k", F.col("t").alias("e"), F.col("n").alias("m"), F.col("odd").alias("eodd"))
+    near = (F.abs(F.col("n") - F.col("m")) <= most) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("eodd"))) <= 2 * most)
+    cand = cut(train.join(other, "k").where(near).select("t", "e").distinct())
     found = lookup(texts, cand.select("t").union(cand.select("e")), "t").select("t", "text_id", "words").distinct()
     left = found.select("t", F.col("text_id").alias("train_text"), F.col("words").alias("a"))
     right = found.select(F.col("t").alias("e"), F.col("text_id").alias("eval_text"), F.col("words").alias("b"))
