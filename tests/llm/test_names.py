@@ -1,8 +1,11 @@
 """Problem 4."""
 
+import itertools
+import random
+
 import pytest
 
-from corpusforge.llm.names import distance, fold, link_names, variant_links
+from corpusforge.llm.names import Authority, distance, fold, link_names, variant_links
 
 AUTHORITY = [
     (1, "PER", "Svartlaugr Snæfinnsson", None), (2, "PER", "Hallgautr hvíthæll Kolgautsson", "hvíthæll"), (3, "PER", "Tindný Hrafnleifsdóttir", None), (4, "PER", "Berggeirr Ǫnghvatsson", None),
@@ -53,10 +56,65 @@ def test_blocks_give_the_same(links, monkeypatch):
     df, auth, got = links
     whole = {r[0]: r[1] for r in link_names(df, auth).collect()}
     assert whole[900] == 1
-    monkeypatch.setattr(names, "BLOCK", 10_000)
+    monkeypatch.setattr(names, "BLOCK", 7)
     assert {r[0]: r[1] for r in link_names(df, auth).collect()} == whole
 
 
+LONG = ["Bræðralag heilags Óláfs konungs í Kaldavík nyrðri", "Hallgautr Svartlaugr Bergmundr Tindný Orri Snæbjǫrn Kolgrímr Ǫnghvatr Hrafn Skúmviðr"]
+
+
+def test_names_of_many_tokens(spark):
+    """Six to ten tokens: reordered, with an initial, with a typo in one token."""
+    auth = spark.createDataFrame([(1, "ORG", LONG[0], None), (2, "MISC", LONG[1], None)], "auth_id long, label string, auth_name string, byname string")
+    rows = []
+    for a, name in enumerate(LONG, 1):
+        w = name.split()
+        rows += [(a, " ".join(w[::-1])), (a, " ".join([*w[1:], w[0]])), (a, " ".join([w[0][0] + ".", *w[1:]])), (a, name.replace("gautr", "gatur").replace("Kalda", "Kalad"))]
+    df = spark.createDataFrame([(i, n, None, "ORG" if a == 1 else "MISC", a) for i, (a, n) in enumerate(rows)], "ent_id long, norm_text string, dipl_text string, label string, a int")
+    got = {r[0]: r[1] for r in variant_links(df, auth).collect()}
+    assert got == {i: a for i, (a, _) in enumerate(rows)}
+
+
+def test_assignment_equals_all_permutations():
+    """The states of `assign` against every way to place the tokens, on small tables of random costs."""
+    rng = random.Random(4)
+    for _ in range(3_000):
+        n, m = rng.randint(1, 4), rng.randint(1, 5)
+        parts, kinds = [f"w{j}" for j in range(m)], [rng.choice("bnfp") for _ in range(m)]
+        label = rng.choice(["PER", "LOC"])
+        tokens = [(rng.choice(["x", "long"]) + str(i), rng.random() < 0.2, None) for i in range(n)]
+        costs = [{(w, k, label): rng.choice([None, 0.0, 0.25, 0.5, 1.0, 1.25, 2.0]) for w, k in zip(parts, kinds)} for _ in tokens]
+        best = None
+        for p in itertools.permutations(range(m), n):
+            cs = [costs[i][parts[j], kinds[j], label] for i, j in enumerate(p)]
+            left = [j for j in range(m) if j not in p]
+            if any(c is None for c in cs) or sum(c for c in cs if c >= 1) > 3:
+                continue
+            if any(kinds[j] != "b" for j in left) and (label != "PER" or not any(kinds[j] == "b" for j in p) or n > 1 and any(kinds[j] == "f" for j in left) or n == 1 and cs[0] > 1):
+                continue
+            total = sum(cs) + 0.1 * len(left) + 0.05 * sum(x > y for x, y in zip(p, p[1:]))
+            best = total if best is None else min(best, total)
+        got = Authority([], {}).assign(tokens, parts, kinds, label, costs)
+        assert (got is None) == (best is None) and (got is None or abs(got - best) < 1e-9)
+
+
 def test_distance_and_fold():
     assert distance("abcd", "abdc", 2) == 1 and distance("abc", "xyz", 2) == 3 and distance("", "a", 1) == 1
     assert fold("Þórr") == fold("Thorr") == "tor" and fold("Ǫngkell") == fold("ongcell")
+
+
+def test_distance_equals_the_full_table():
+    def full(a, b):
+        d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(9)
+    for _ in range(30_000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        for most in (0, 1, 2, 3):
+            assert distance(a, b, most) == min(full(a, b), most + 1), (a, b, most)
