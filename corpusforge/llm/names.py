@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections import defaultdict
 from functools import lru_cache
 
@@ -407,6 +408,17 @@ def learn_elements(entries: DataFrame) -> dict[str, Elements]:
     return {k: Elements(sorted(v)) for k, v in pool.items()}
 
 
+_KEPT: dict[str, Authority] = {}
+
+
+def authority_of(key: str, rows: list[tuple], elements: dict[str, Elements]) -> Authority:
+    """The index of a block, built once per worker process and not once per task."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Authority(rows, elements)
+    return _KEPT[key]
+
+
 def link_names(df: DataFrame, authority: DataFrame, id_col: str = "ent_id") -> DataFrame:
     """(id_col, auth_id) of the rows that name one entry of the authority list, in whatever spelling.
 
@@ -434,8 +446,8 @@ def link_names(df: DataFrame, authority: DataFrame, id_col: str = "ent_id") -> D
         part = [tuple(r) for r in entries.where(F.pmod(F.xxhash64("auth_id"), F.lit(blocks)) == k).collect()]
         shared = spark.sparkContext.broadcast(part)
 
-        def run(batches, shared=shared):
-            a = Authority(shared.value, elements.value)
+        def run(batches, shared=shared, key=uuid.uuid4().hex):
+            a = authority_of(key, shared.value, elements.value)
             for b in batches:
                 out = ([], [], [], [])
                 for name, kind, label, text in zip(*[b.column(i).to_pylist() for i in range(4)]):
