@@ -119,9 +119,17 @@ def long_label(c: Column) -> Column:
     return F.coalesce(F.element_at(pairs, F.upper(c)), c)
 
 
+def code_point(c: Column) -> Column:
+    """Hexadecimal number of a character, four digits or more."""
+    h = F.hex(F.ascii(c))
+    return F.when(F.length(h) < 4, F.lpad(h, 4, "0")).otherwise(h)
+
+
 def visible_blanks(c: Column, most: int = 100) -> Column:
-    """For people: blanks drawn as signs, cut to `most` characters."""
-    return F.translate(F.substring(c, 1, most), " \t\n", "␣⇥⏎")
+    """For people: blanks drawn as signs, other invisible characters as \\uXXXX; longer than `most` it ends in three dots."""
+    signs = F.transform(F.split(F.translate(c, " \t\n", "␣⇥⏎"), ""), lambda x: F.when(x.rlike(r"\p{C}"), F.concat(F.lit("\\u"), F.lower(code_point(x)))).otherwise(x))
+    text = F.array_join(signs, "")
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
 
 
 def peel_tokens(c: Column) -> Column:

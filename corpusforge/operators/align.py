@@ -51,77 +51,107 @@ def _dashed(lower: list[str], i: int, parts: list[str]) -> int:
     return j - i if p == len(parts) else 0
 
 
+class Matcher:
+    """The names of a block by their first token."""
+
+    def __init__(self, rows: list[tuple[int, str, str]]):
+        self.by_first: dict[str, list] = defaultdict(list)
+        for ent, text, label in rows:
+            words = text.split()
+            heads = {words[0].lower(), *[p for p in [text.lower().split("-")[0].strip()] if p and "-" in text]}
+            for h in heads:
+                self.by_first[h].append((ent, words, label))
+
+    def places(self, toks: list[str]) -> list[tuple[int, int, int, int, str]]:
+        """(minus the tokens of the name, ent, start, length, label) of all places: sorted, they come in order of choice."""
+        lower = [t.lower() for t in toks]
+        at, low_at = defaultdict(list), defaultdict(list)
+        for j, (t, l) in enumerate(zip(toks, lower)):
+            at[t].append(j)
+            low_at[l].append(j)
+        seen, out = set(), []
+        for h in low_at:
+            for ent, words, label in self.by_first.get(h, ()):
+                if (ent, label) not in seen:
+                    seen.add((ent, label))
+                    out += [(-len(words), ent, s, n, label) for s, n in name_starts(toks, lower, at, low_at, words)]
+        return out
+
+
+def greedy_labels(n: int, places: list[tuple]) -> list[str]:
+    """BIO labels of n tokens: places in order, each set where all its tokens are still free."""
+    labels = ["O"] * n
+    for _, _, s, k, l in places:
+        if all(x == "O" for x in labels[s : s + k]):
+            labels[s : s + k] = [f"B-{l}"] + [f"I-{l}"] * (k - 1)
+    return labels
+
+
 def align(docs: DataFrame, names: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """(id_col, tok_id, token, label): BIO labels of every token of (id_col, tokens).
 
     names has ent (order), text, label; equal (text, label) count once, by their first ent. Longer names (in tokens) come
-    first, then by order, then by place; a name is set where all its tokens are still free. Names are matched in blocks
-    of BLOCK (one broadcast each); the greedy choice is made per text from the matches of all blocks. Null and empty
-    names match nothing; a text without tokens gives no row.
+    first, then by order, then by place; a name is set where all its tokens are still free. A list of up to BLOCK names is
+    one broadcast and labels are chosen in the same pass, without a shuffle; of a longer one the matches of its blocks
+    are brought together per text. Null and empty names match nothing; a text without tokens gives no row.
     """
     listed = names.where("trim(text) <> '' and label is not null").groupBy("text", "label").agg(F.min("ent").cast("long").alias("ent"))
     blocks = max(1, -(-listed.count() // BLOCK))
     base = docs.select(id_col, tokens_col)
     key = base.schema[id_col].dataType
-    found = None
-    for k in range(blocks):
+    schema = T.StructType([T.StructField(id_col, key), T.StructField("tok_id", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("label", T.StringType())])
+    place = "array<struct<a: int, ent: bigint, s: int, n: int, l: string>>"
+
+    def block(k: int):
         rows = [tuple(r) for r in listed.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("ent", "text", "label").collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def match(batches, shared=shared):
-            by_first: dict[str, list] = defaultdict(list)
-            for ent, text, label in shared.value:
-                words = text.split()
-                heads = {words[0].lower()}
-                if "-" in text:
-                    heads |= {p for p in [" ".join(words).lower().split("-")[0]] if p}
-                for h in heads:
-                    by_first[h].append((ent, words, label))
+        return docs.sparkSession.sparkContext.broadcast(rows)
+
+    def labelled(ids, tokens, places):
+        row, no, tok, lab = [], [], [], []
+        for i, (toks, found) in enumerate(zip(tokens, places)):
+            n = len(toks or [])
+            row += [i] * n
+            no += range(n)
+            tok += toks or []
+            lab += greedy_labels(n, found)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(tok, pa.string()), pa.array(lab, pa.string())], names=[id_col, "tok_id", "token", "label"])
+
+    def plain(toks):
+        return ["" if t is None else t for t in toks or []]
+
+    if blocks == 1:
+        shared = block(0)
+
+        def run(batches):
+            m = Matcher(shared.value)
+            for b in batches:
+                tokens = b.column(1).to_pylist()
+                yield labelled(b.column(0), tokens, [sorted(m.places(plain(t))) for t in tokens])
+
+        out = base.mapInArrow(run, schema)
+    else:
+        found = None
+        for k in range(blocks):
+
+            def match(batches, shared=block(k)):
+                m = Matcher(shared.value)
+                for b in batches:
+                    got = [[dict(zip(("a", "ent", "s", "n", "l"), x)) for x in m.places(plain(t))] for t in b.column(1).to_pylist()]
+                    some = [i for i, g in enumerate(got) if g]
+                    kind = pa.list_(pa.struct([("a", pa.int32()), ("ent", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("l", pa.string())]))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([got[i] for i in some], kind)], names=["k", "c"])
+
+            one = base.mapInArrow(match, T.StructType([T.StructField("k", key), T.StructField("c", T._parse_datatype_string(place))]))
+            found = one if found is None else found.unionByName(one)
+        per = found.groupBy("k").agg(F.array_sort(F.flatten(F.collect_list("c"))).alias("c"))
+        joined = base.join(per, base[id_col].eqNullSafe(per["k"]), "left").select(id_col, tokens_col, "c")
+
+        def choose(batches):
             for b in batches:
-                out: list[list] = [[], [], [], [], []]
-                for i, toks in enumerate(b.column(1).to_pylist()):
-                    toks = ["" if t is None else t for t in toks or []]
-                    lower = [t.lower() for t in toks]
-                    at, low_at = defaultdict(list), defaultdict(list)
-                    for j, (t, l) in enumerate(zip(toks, lower)):
-                        at[t].append(j)
-                        low_at[l].append(j)
-                    seen = set()
-                    for h in low_at:
-                        for ent, words, label in by_first.get(h, ()):
-                            if (ent, label) in seen:
-                                continue
-                            seen.add((ent, label))
-                            for s, n in name_starts(toks, lower, at, low_at, words):
-                                for c, x in zip(out, (i, ent, s, n, label)):
-                                    c.append(x)
-                        # ranks by the length of the name, not of the place
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.string())], names=["k", "ent", "s", "n", "l"])
-
-        one = base.mapInArrow(match, T.StructType([T.StructField("k", key), *[T.StructField(c, t) for c, t in (("ent", T.LongType()), ("s", T.IntegerType()), ("n", T.IntegerType()), ("l", T.StringType()))]]))
-        found = one if found is None else found.unionByName(one)
-    size = listed.select("ent", "label", F.size(F.split("text", r"\s+")).alias("len"))
-    found = found.join(size.select("ent", F.col("label").alias("l"), "len"), ["ent", "l"])
-    per = found.groupBy("k").agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("a"), "ent", "s", "n", "l"))).alias("c"))
-    joined = base.join(per, base[id_col].eqNullSafe(per["k"]), "left").select(id_col, tokens_col, "c")
-
-    def choose(batches):
-        for b in batches:
-            row, no, tok, lab = [], [], [], []
-            for i, (toks, cands) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                labels = ["O"] * len(toks or [])
-                for c in cands or []:
-                    s, n = c["s"], c["n"]
-                    if all(x == "O" for x in labels[s : s + n]):
-                        labels[s : s + n] = [f"B-{c['l']}"] + [f"I-{c['l']}"] * (n - 1)
-                row += [i] * len(labels)
-                no += range(len(labels))
-                tok += toks or []
-                lab += labels
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(tok, pa.string()), pa.array(lab, pa.string())], names=[id_col, "tok_id", "token", "label"])
+                places = [[tuple(c.values()) for c in cs or []] for cs in b.column(2).to_pylist()]
+                yield labelled(b.column(0), b.column(1).to_pylist(), places)
 
-    schema = T.StructType([T.StructField(id_col, key), T.StructField("tok_id", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("label", T.StringType())])
-    out = joined.mapInArrow(choose, schema)
+        out = joined.mapInArrow(choose, schema)
     return out.withColumn("label", F.when(F.col("label") == "O", "O").otherwise(F.concat(F.left("label", F.lit(2)), long_label(F.expr("substring(label, 3)")))))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusforge.functions.clean import markup_key
+from corpusforge.functions.clean import code_point, markup_key
 
 #: What is no printable character; fixed value.
 UNPRINTABLE = r"[\x{FFFD}\p{C}\p{Z}&&[^ ]]"
@@ -18,7 +18,7 @@ def invalid_characters(df: DataFrame, id_col: str, text_col: str = "text", aroun
     category = (F.when(F.col("char").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), "control character").when(F.col("char") == "�", "replacement character")
                 .when(F.col("char").rlike(r"[\x{E000}-\x{F8FF}]"), "private use character").otherwise("non-printable character"))
     first = F.greatest(F.lit(0), F.col("position") - around)
-    return chars.select(id_col, "line", (F.col("position") + 1).alias("position"), "char", F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii("char")), 4, "0")).alias("code"),
+    return chars.select(id_col, "line", (F.col("position") + 1).alias("position"), "char", F.concat(F.lit("U+"), code_point(F.col("char"))).alias("code"),
                         category.alias("category"), F.substring("t", first + 1, F.col("position") + around - first).alias("context"))
 
 

@@ -94,20 +94,6 @@ def occurrences(df: DataFrame, names: DataFrame, id_col: str, text_col: str, bou
     return out
 
 
-def partial_occurrence(texts: list[str], name: str) -> list[tuple[int, int]]:
-    """For checks: places where the first word of a name stands and, within 50 characters, the rest, equal by NFKC."""
-    out = []
-    for t in texts:
-        first = name.split(" ")[0]
-        at = t.find(first) if first else -1
-        while at >= 0:
-            piece = t[at : at + len(name)]
-            if piece != name and unicodedata.normalize("NFKC", piece) == unicodedata.normalize("NFKC", name):
-                out.append((at, at + len(name) - 1))
-            at = t.find(first, at + 1)
-    return out
-
-
 def repeated_names(found: DataFrame, id_col: str) -> DataFrame:
     """Names that occur more than once in a text, with the number of places."""
     return found.groupBy(id_col, "text").agg(F.count_distinct("start").alias("places")).where("places > 1")
@@ -118,6 +104,12 @@ def shared_places(found: DataFrame, id_col: str) -> DataFrame:
     return found.groupBy(id_col, "start", "end").agg(F.count(F.lit(1)).alias("names"), F.sort_array(F.collect_set("label")).alias("labels")).where("names > 1")
 
 
+def shared_place_names(found: DataFrame, id_col: str) -> DataFrame:
+    """The names at the places that have more than one: the rows of found, each with how many (names)."""
+    many = shared_places(found, id_col).select(id_col, "start", "end", "names")
+    return found.join(many, [id_col, "start", "end"])
+
+
 def context(text: Column, start: Column, end: Column, around: int = 30) -> Column:
     """The span with up to `around` characters on either side."""
     first = F.greatest(F.lit(0), start - around)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusforge.functions import clean, similarity
 from corpusforge.functions.chars import WS_LINE
 from corpusforge.operators import align, cluster, entities, extract, qa, spans, stats
-from corpusforge.plans.text import strip, sub
+from corpusforge.plans.text import _plain, _spaced, strip, sub
 from corpusforge.runtime import table
 
 QUERIES: dict = {}
@@ -129,13 +129,14 @@ def mismatch_class(spark: SparkSession, d: str) -> DataFrame:
 
 def _markup(spark: SparkSession, d: str, tag) -> DataFrame:
     """(file, xml): the entities of each file as elements, in order."""
-    e = _e(spark, d).where("dipl_text is not null and file is not null")
-    word = F.concat(F.lit("<w n='1'><choice><me:dipl>"), "dipl_text", F.lit("</me:dipl><me:norm>"), F.coalesce("norm_text", F.lit("")), F.lit("</me:norm></choice></w>"))
+    e = _e(spark, d)
+    word = F.concat(F.lit("<w n='1'><choice><me:dipl>"), F.coalesce("dipl_text", F.lit("")), F.lit("</me:dipl><me:norm>"), F.coalesce("norm_text", F.lit("")), F.lit("</me:norm></choice></w>"))
     el = e.select("file", F.struct("ent_id", tag(word).alias("x")).alias("s"))
     return el.groupBy("file").agg(F.concat(F.lit("<text><body>"), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "\n"), F.lit("</body></text>")).alias("xml"))
 
 
-_READ = f"select file, ent_id, {strip('dipl_text')} as dipl_text, {strip('''coalesce(norm_text, '')''')} as norm_text, label, subtype from entities where dipl_text is not null and file is not null"
+_DIPL, _NORM = "coalesce(dipl_text, '')", "coalesce(norm_text, '')"
+_READ = f"select file, ent_id, {strip(_DIPL)} as dipl_text, {strip(_NORM)} as norm_text, label, subtype from entities"
 
 
 @query(f"""select file, dipl_text, norm_text, case when label = 'LOC' then 'LOC' else 'PER' end as label, case when label = 'LOC' or coalesce(subtype, '') = '' then null else subtype end as subtype
@@ -164,12 +165,34 @@ def extract_geog_names(spark: SparkSession, d: str) -> DataFrame:
     return extract.tei_geog_names(_markup(spark, d, lambda w: F.concat(F.lit('<geogName type="'), kind, F.lit('">'), w, F.lit("</geogName>")))).drop("ord", "dipl_text")
 
 
-@query(f"select file, dipl_text, norm_text, 'PER' as label, cast(null as varchar) as subtype from ({_READ}) where dipl_text <> '' or norm_text <> ''")
+_CHILD = "case when label = 'LOC' then case subtype when 'REG' then 'region' when 'CNY' then 'country' else 'settlement' end when subtype = 'ROL' then 'role' when coalesce(subtype, '') <> '' then 'byname' else 'person' end"
+
+
+@query(f"""with r as (select *, coalesce({_CHILD}, 'person') as k from ({_READ}) where dipl_text <> '' or norm_text <> ''),
+    twice as (select file, k, subtype, {strip("dipl_text || ' ' || dipl_text")} as dipl_text, {strip("norm_text || ' ' || norm_text")} as norm_text from r)
+    select file, dipl_text, norm_text, 'PER' as label, cast(null as varchar) as subtype from r where k in ('person', 'role', 'byname')
+    union all select file, dipl_text, norm_text, 'PER', 'ROL' from twice where k = 'role'
+    union all select file, dipl_text, norm_text, 'PER', upper(subtype) from twice where k = 'byname'
+    union all select file, dipl_text, norm_text, 'PER', upper(subtype) from r where k = 'byname'
+    union all select file, dipl_text, norm_text, 'LOC', case k when 'region' then 'REG' when 'country' then 'CNY' else 'SET' end from r where k in ('region', 'country', 'settlement')""")
 def extract_persons(spark: SparkSession, d: str) -> DataFrame:
-    return extract.tei_persons(_markup(spark, d, lambda w: F.concat(F.lit("<persName><forename>"), w, F.lit("</forename></persName>")))).drop("ord")
+    """Persons with a role or a byname and the children of places, each name standing in all parts of its element."""
+    k = F.coalesce(F.expr(_CHILD), F.lit("person"))
+    el = lambda tag, w: F.concat(F.lit(f"<{tag}>"), w, F.lit(f"</{tag.split()[0]}>"))
 
+    def tag(w):
+        name = el("forename", w)
+        byname = F.concat(F.lit('<addName type="'), "subtype", F.lit('">'), w, F.lit("</addName>"))
+        place = F.coalesce(*[F.when(k == t, el("placeName", el(t, w))) for t in ("region", "country", "settlement")])
+        return F.when(k == "role", el("persName", F.concat(name, el('roleName n="1"', w)))).when(k == "byname", el("persName", F.concat(name, byname))).when(k == "person", el("persName", name)).otherwise(place)
 
-@query()
+    return extract.tei_persons(_markup(spark, d, tag)).drop("ord")
+
+
+_RUN = _spaced("array_to_string(list_filter(list(w order by ent_id), lambda x: x <> ''), ' ')")
+
+
+@query(f"select file, {_RUN} as text from (select file, ent_id, {_plain(_DIPL)} as w from entities) group by file")
 def tei_running_text(spark: SparkSession, d: str) -> DataFrame:
     return _markup(spark, d, lambda w: F.concat(F.lit("<persName>"), w, F.lit("</persName>"))).select("file", clean.tei_running_text(F.col("xml")).alias("text"))
 
@@ -206,14 +229,32 @@ def occurrences_all(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("ent").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {_HITS} select doc_id, text, count(distinct start) as places from span group by doc_id, text having count(distinct start) > 1""")
+# the first parts of the names of persons, which texts repeat, and a second listing of every other name
+_LISTED = "names as (select auth_id as ent, auth_name as name, label from name_authority where auth_name <> '')"
+_FIRST = _HITS.replace(_LISTED, "names as (select min(auth_id) as ent, string_split(auth_name, ' ')[1] as name, label from name_authority where label = 'PER' and auth_name <> '' group by 2, 3)")
+_TWICE = _HITS.replace(_LISTED, _LISTED[:-1] + " union all select auth_id + 100000, auth_name, 'ALT' from name_authority where auth_name <> '' and auth_id % 2 = 0)")
+
+
+@query(f"""with {_FIRST} select doc_id, name as text, count(distinct start) as places from occ group by doc_id, name having count(distinct start) > 1""")
 def occurrence_counts_multi(spark: SparkSession, d: str) -> DataFrame:
-    return spans.repeated_names(spans.occurrences(table(spark, d, "documents"), _gazetteer(spark, d), "doc_id", "text"), "doc_id")
+    first = _gazetteer(spark, d).where("label = 'PER' and text <> ''").groupBy(F.split("text", " ")[0].alias("text"), "label", "subtype").agg(F.min("ent").alias("ent"))
+    return spans.repeated_names(spans.occurrences(table(spark, d, "documents"), first, "doc_id", "text"), "doc_id")
 
 
-@query(f"""with {_HITS} select doc_id, start, "end", count(*) as names, string_agg(distinct label, ',' order by label) as labels from span group by doc_id, start, "end" having count(*) > 1""")
+def _twice(spark: SparkSession, d: str) -> DataFrame:
+    g = _gazetteer(spark, d)
+    return g.unionByName(g.where("ent % 2 = 0").withColumns({"ent": F.col("ent") + 100_000, "label": F.lit("ALT")}))
+
+
+@query(f"""with {_TWICE}, many as (select doc_id, start, "end", count(*) as names from span group by doc_id, start, "end" having count(*) > 1)
+    select s.doc_id, s.start, s."end", s.text, s.label, s.ent, names from span s join many m on s.doc_id = m.doc_id and s.start = m.start and s."end" = m."end" """)
+def overlap_position_names(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_place_names(spans.occurrences(table(spark, d, "documents"), _twice(spark, d), "doc_id", "text"), "doc_id").drop("subtype")
+
+
+@query(f"""with {_TWICE} select doc_id, start, "end", count(*) as names, string_agg(distinct label, ',' order by label) as labels from span group by doc_id, start, "end" having count(*) > 1""")
 def overlap_positions(spark: SparkSession, d: str) -> DataFrame:
-    o = spans.occurrences(table(spark, d, "documents"), _gazetteer(spark, d), "doc_id", "text")
+    o = spans.occurrences(table(spark, d, "documents"), _twice(spark, d), "doc_id", "text")
     return spans.shared_places(o, "doc_id").withColumn("labels", F.array_join("labels", ","))
 
 
@@ -274,55 +315,56 @@ def names_not_found(spark: SparkSession, d: str) -> DataFrame:
 
 # -- similarity and clusters --------------------------------------------------------------------------------------
 
-_PAIRS = "pairs as (select distinct a.p_name as a, b.p_name as b from part a join part b on left(a.p_name, 2) = left(b.p_name, 2) and a.p_name < b.p_name)"
+_PAIRS = "pairs as (select a, b from (select distinct p_name as a from part) join (select distinct p_name as b from part) on a < b)"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_name").distinct().withColumn("k", F.left("p_name", F.lit(2)))
-    return p.select("k", F.col("p_name").alias("a")).join(p.select("k", F.col("p_name").alias("b")), "k").where("a < b").drop("k")
-
-
-@query(f"""with {_PAIRS} select a, b, levenshtein(a, b) as edits, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) as similarity from pairs""")
-def lev_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("a", "b", F.levenshtein("a", "b").cast("long").alias("edits"), F.round(similarity.edit_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    """All pairs of the distinct part names, a bounded list of 64."""
+    p = table(spark, d, "part").select("p_name").distinct()
+    return p.select(F.col("p_name").alias("a")).join(p.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
 
 
-@query(f"""with {_PAIRS} select a, b, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))) as prefix from pairs""")
-def prefix_len(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("a", "b", similarity.common_prefix(F.col("a"), F.col("b")).cast("long").alias("prefix"))
+def _jaro(frame: str, x: str, y: str, out: str) -> str:
+    """CTEs from `frame` to `out`, which has the Jaro similarity of x and y as j: each character of x in turn takes the
+    first free equal one of y within reach; half a transposition counts."""
+    reach = f"(greatest(0, greatest(length({x}), length({y})) // 2 - 1))"
+    free = f"list_filter(range(greatest(1, e[1] - {reach}), least(length({y}), e[1] + {reach}) + 1), lambda k: substr({y}, k, 1) = substr({x}, e[1], 1) and not list_contains(acc, k))"
+    taken = f"list_reduce(list_prepend(cast([] as bigint[]), list_transform(range(1, length({x}) + 1), lambda i: [i])), lambda acc, e: list_append(acc, coalesce({free}[1], 0)))"
+    return f"""{out}1 as (select *, {taken} as m from {frame}),
+    {out}2 as (select *, list_transform(list_filter(range(1, len(m) + 1), lambda i: m[i] > 0), lambda i: substr({x}, i, 1)) as hx, list_transform(list_sort(list_filter(m, lambda k: k > 0)), lambda k: substr({y}, k, 1)) as hy from {out}1),
+    {out}3 as (select * exclude (m, hx, hy), len(hx) as hits, len(list_filter(range(1, len(hx) + 1), lambda i: hx[i] <> hy[i])) / 2 as swaps from {out}2),
+    {out} as (select * exclude (hits, swaps), case when {x} = {y} then 1.0 when hits = 0 then 0.0 else (hits / length({x}) + hits / length({y}) + (hits - swaps) / hits) / 3 end as j from {out}3)"""
 
 
-@query(f"""with {_PAIRS} select a, b, round(jaro_similarity(a, b), 6) as jaro, round(jaro_winkler_similarity(a, b), 6) as jaro_winkler,
-    round(0.40 * jaro_similarity(lower(a), lower(b)) + 0.35 * (1 - levenshtein(lower(a), lower(b)) / greatest(length(a), length(b)))
-        + 0.25 * len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(lower(a), i) = left(lower(b), i))) / greatest(length(a), length(b)), 6) as combined from pairs""")
-def string_similarity(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    return _pairs(spark, d).select("a", "b", F.round(similarity.jaro_col(a, b), 6).alias("jaro"), F.round(similarity.jaro_winkler_col(a, b), 6).alias("jaro_winkler"), F.round(similarity.combined_similarity(a, b), 6).alias("combined"))
+def _same(x: str, y: str, most: str) -> str:
+    return f"len(list_filter(range(1, {most} + 1), lambda i: left({x}, i) = left({y}, i)))"
 
 
-# The three above keep the pairs of their SQL, names with the same first two letters; these have all pairs.
-_ALL_PAIRS = "pairs as (select a, b from (select distinct p_name as a from part) join (select distinct p_name as b from part) on a < b)"
+def _mix(x: str, y: str) -> str:
+    least = f"least(length({x}), length({y}))"
+    # levenshtein of the SQL engine counts bytes: letters of two bytes are written as capitals, which lower case leaves free
+    ex, ey = (f"translate({z}, 'áéíóúýþðæœøǫäö', 'ABCDEFGHIJKLMN')" for z in (x, y))
+    return f"case when {x} = {y} then 1.0 else 0.40 * j + 0.35 * (1 - levenshtein({ex}, {ey}) / greatest(length({x}), length({y}))) + 0.25 * {_same(x, y, least)} / greatest(length({x}), length({y})) end"
 
 
-def _all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_name").distinct()
-    return p.select(F.col("p_name").alias("a")).join(p.select(F.col("p_name").alias("b")), F.col("a") < F.col("b"))
+@query(f"""with {_PAIRS} select a, b, levenshtein(a, b) as edits, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) as similarity from pairs""")
+def lev_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("a", "b", F.levenshtein("a", "b").cast("long").alias("edits"), F.round(similarity.edit_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query(f"""with {_ALL_PAIRS} select a, b, levenshtein(a, b) as edits, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) as similarity from pairs""")
-def lev_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    return _all_pairs(spark, d).select("a", "b", F.levenshtein("a", "b").cast("long").alias("edits"), F.round(similarity.edit_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+@query(f"""with {_PAIRS} select a, b, {_same('a', 'b', 'least(length(a), length(b))')} as prefix from pairs""")
+def prefix_len(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("a", "b", similarity.common_prefix(F.col("a"), F.col("b")).cast("long").alias("prefix"))
 
 
-@query(f"""with {_ALL_PAIRS} select a, b, len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))) as prefix from pairs""")
-def prefix_len_all(spark: SparkSession, d: str) -> DataFrame:
-    return _all_pairs(spark, d).select("a", "b", similarity.common_prefix(F.col("a"), F.col("b")).cast("long").alias("prefix"))
+_WINKLER = f"case when plain > 0.7 then plain + 0.1 * {_same('a', 'b', 'least(4, length(a), length(b))')} * (1 - plain) else plain end"
 
 
-@query()  # no SQL: jaro_similarity of DuckDB halves an odd count of transpositions downwards, C1 does not
-def string_similarity_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"""with {_PAIRS}, {_jaro('pairs', 'a', 'b', 'whole')}, own as (select a, b, lower(a) as la, lower(b) as lb, j as plain from whole), {_jaro('own', 'la', 'lb', 'low')}
+    select a, b, round(plain, 6) as jaro, round({_WINKLER}, 6) as jaro_winkler, round({_mix('la', 'lb')}, 6) as combined from low""")
+def string_similarity(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
-    return _all_pairs(spark, d).select("a", "b", F.round(similarity.jaro_col(a, b), 6).alias("jaro"), F.round(similarity.jaro_winkler_col(a, b), 6).alias("jaro_winkler"), F.round(similarity.combined_similarity(a, b), 6).alias("combined"))
+    return _pairs(spark, d).select("a", "b", F.round(similarity.jaro_col(a, b), 6).alias("jaro"), F.round(similarity.jaro_winkler_col(a, b), 6).alias("jaro_winkler"), F.round(similarity.combined_similarity(a, b), 6).alias("combined"))
 
 
 @query("""with r as (select a.vec_id as query, b.vec_id as key, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 5) as distance from embeddings a join embeddings b on a.vec_id % 100 = 0)
@@ -334,33 +376,32 @@ def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def _vector_names(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "name_authority").select(F.col("auth_id").alias("id"), F.col("auth_name").alias("text"), F.col("label").alias("kind"))
-    return n.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    return n.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
 
 
-@query("""with v as (select auth_id as id, auth_name as text, name_authority.label as kind, embedding::double[] as v from name_authority join embeddings on auth_id = vec_id)
-    select a.id as a, b.id as b, round(1 - list_cosine_similarity(a.v, b.v), 5) as cosine from v a join v b on a.kind = b.kind and left(a.text, 3) = left(b.text, 3) and a.id < b.id""")
-def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    v = _vector_names(spark, d).withColumn("k", F.left("text", F.lit(3)))
-    a = v.select("kind", "k", F.col("id").alias("a"), F.col("embedding").alias("va"))
-    b = v.select("kind", "k", F.col("id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, ["kind", "k"]).where("a < b").select("a", "b", F.round(similarity.cosine_distance(F.col("va"), F.col("vb")), 5).alias("cosine"))
+_NAME_PAIRS = """v as (select auth_id as id, auth_name as text, n.label as kind, embedding::double[] as v from name_authority n left join embeddings on auth_id = vec_id),
+    np as (select a.id as a, b.id as b, lower(a.text) as ta, lower(b.text) as tb, 1 - list_cosine_similarity(a.v, b.v) as cosine from v a join v b on a.kind = b.kind and a.id < b.id)"""
+_HYBRID = f"case when cosine is null then 1 - ({_mix('ta', 'tb')}) else 0.6 * (1 - ({_mix('ta', 'tb')})) + 0.4 * cosine end"
 
 
-@query("""with v as (select auth_id as id, name_authority.label as kind, embedding::double[] as v from name_authority join embeddings on auth_id = vec_id)
-    select a.id as a, b.id as b, round(1 - list_cosine_similarity(a.v, b.v), 5) as cosine from v a join v b on a.kind = b.kind and a.id < b.id""")
-def cosine_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    v = _name_pairs(spark, d)
-    return v.select("a", "b", F.round(similarity.cosine_distance(F.col("va"), F.col("vb")), 5).alias("cosine"))
+@query(f"with {_NAME_PAIRS} select a, b, round(cosine, 5) as cosine from np")
+def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of one kind; null where a name has no vector."""
+    has = F.col("va").isNotNull() & F.col("vb").isNotNull()
+    return _name_pairs(spark, d).select("a", "b", F.when(has, F.round(similarity.cosine_distance(F.col("va"), F.col("vb")), 5)).alias("cosine"))
 
 
-@query()
+@query(f"with {_NAME_PAIRS}, {_jaro('np', 'ta', 'tb', 'jaro')} select a, b, round({_HYBRID}, 5) as distance from jaro")
 def hybrid_distance(spark: SparkSession, d: str) -> DataFrame:
-    dist = similarity.hybrid_distance(F.col("ta"), F.col("tb"), F.col("va"), F.col("vb"))
-    return _name_pairs(spark, d).select("a", "b", F.round(dist, 6).alias("distance"))
+    """All pairs of one kind; by text alone where a name has no vector."""
+    text = 1 - similarity.combined_similarity(F.col("ta"), F.col("tb"))
+    has = F.col("va").isNotNull() & F.col("vb").isNotNull()
+    both = similarity.hybrid_distance(F.col("ta"), F.col("tb"), F.col("va"), F.col("vb"))
+    return _name_pairs(spark, d).select("a", "b", F.round(F.when(has, both).otherwise(text), 5).alias("distance"))
 
 
 def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs a < b of the name list's entries of one kind that have vectors. The list is bounded."""
+    """All pairs a < b of the name list's entries of one kind. The list is bounded."""
     v = _vector_names(spark, d)
     a = v.select("kind", F.col("id").alias("a"), F.col("text").alias("ta"), F.col("embedding").alias("va"))
     b = v.select("kind", F.col("id").alias("b"), F.col("text").alias("tb"), F.col("embedding").alias("vb"))

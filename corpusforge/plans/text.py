@@ -180,7 +180,12 @@ def word_count_regex(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", spans.count_words(F.col("text")).cast("long").alias("words"))
 
 
-@query()
+_PLACED = f"""a as (select doc_id, regexp_extract_all(text, {q(WORD_PATTERN)}) as w, string_split_regex(text, {q(WORD_PATTERN)}) as s from documents where text is not null),
+    b as (select doc_id, unnest(w) as word, unnest(s[1:len(w)]) as gap, generate_subscripts(w, 1) as k from a where len(w) > 0),
+    words as (select doc_id, k - 1 as pos, word, sum(length(gap) + length(word)) over (partition by doc_id order by k) - length(word) as start from b)"""
+
+
+@query(f"""with {_PLACED} select doc_id, cast(pos as integer) as pos, word, cast(start as integer) as start, cast(start + length(word) - 1 as integer) as "end" from words""")
 def word_spans(spark: SparkSession, d: str) -> DataFrame:
     return spans.word_spans(table(spark, d, "documents"), "doc_id", "text")
 
@@ -191,10 +196,13 @@ def word_span_totals(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.sum(F.col("end") - F.col("start") + 1).alias("chars"))
 
 
-@query("select doc_id, cast(null as varchar) as word from documents where false")
+@query(f"""with {_PLACED} select x.doc_id, word from (select * from words where pos % 7 = 3) x join documents d on x.doc_id = d.doc_id where substr(d.text, cast(start + 2 as integer), length(word)) <> word""")
 def span_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh word is moved by one, so that the check has something to find."""
     t = table(spark, d, "documents")
-    return spans.verify_spans(spans.word_spans(t, "doc_id", "text"), t, "doc_id", "text").select("doc_id", "word")
+    moved = F.when(F.col("pos") % 7 == 3, 1).otherwise(0)
+    words = spans.word_spans(t, "doc_id", "text").withColumns({"start": F.col("start") + moved, "end": F.col("end") + moved})
+    return spans.verify_spans(words, t, "doc_id", "text").select("doc_id", "word")
 
 
 @query(f"""with a as (select doc_id, unnest(regexp_extract_all(text, {q(WORD_PATTERN)})) as word, generate_subscripts(regexp_extract_all(text, {q(WORD_PATTERN)}), 1) as pos from documents),
@@ -210,7 +218,7 @@ _BAD = r"[\x{FFFD}\p{C}\p{Zl}\p{Zp}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205
 
 @query(f"""with l as (select doc_id, unnest({_lines('text')}) as t, generate_subscripts({_lines('text')}, 1) as line from documents),
     c as (select doc_id, line, t, unnest(string_split(t, '')) as char, generate_subscripts(string_split(t, ''), 1) as position from l where regexp_matches(t, '{_BAD}'))
-    select doc_id, cast(line as integer) as line, cast(position as integer) as position, char, 'U+' || lpad(to_hex(unicode(char)), 4, '0') as code,
+    select doc_id, cast(line as integer) as line, cast(position as integer) as position, char, 'U+' || lpad(to_hex(unicode(char)), cast(greatest(4, length(to_hex(unicode(char)))) as integer), '0') as code,
         case when regexp_matches(char, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') then 'control character' when char = chr(65533) then 'replacement character'
             when regexp_matches(char, '[\\x{{E000}}-\\x{{F8FF}}]') then 'private use character' else 'non-printable character' end as category,
         substr(t, greatest(0, position - 21) + 1, position - 1 + 20 - greatest(0, position - 21)) as context
@@ -231,6 +239,14 @@ def keep_percent(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("source").agg(F.sum(F.length("text")).alias("before"), F.sum(F.length("k")).alias("after"), F.round(100.0 * F.sum(F.length("k")) / F.sum(F.length("text")), 4).alias("kept_percent"))
 
 
+_VISIBLE = f"array_to_string(list_transform(string_split(translate(text, ' ' || chr(9) || {NL}, '␣⇥⏎'), ''), lambda x: case when regexp_matches(x, '\\p{{C}}') then '\\u' || lpad(lower(to_hex(unicode(x))), cast(greatest(4, length(to_hex(unicode(x)))) as integer), '0') else x end), '')"
+
+
+@query(f"select doc_id, case when length(v) > 100 then left(v, 100) || '...' else v end as shown from (select doc_id, {_VISIBLE} as v from documents)")
+def visible_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", clean.visible_blanks(F.col("text")).alias("shown"))
+
+
 @query(f"select doc_id, line from (select doc_id, unnest({_lines('text')}) as t, cast(generate_subscripts({_lines('text')}, 1) - 1 as integer) as line from documents) where regexp_matches(t, '^{WS}')")
 def leading_blanks(spark: SparkSession, d: str) -> DataFrame:
     return qa.leading_blanks(table(spark, d, "documents"), "doc_id")

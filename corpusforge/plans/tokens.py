@@ -231,15 +231,20 @@ def shuffled_ranks(spark: SparkSession, d: str) -> DataFrame:
     return splits.seeded_rank(s, ["source"], ["sent_id"]).select("sent_id", "rank")
 
 
-def _experiment_parts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _experiment_sizes(spark: SparkSession, d: str, experiments: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Sentences and tokens of every part of every experiment. Sentences are counted once per part, with and without their
+    factor, and the few sums are given to the experiments; nothing is replicated to be counted."""
     w = table(spark, d, "works").select("source", "text_rep_level").dropDuplicates(["source"])
-    t = _tokens(spark, d).join(w, "source", "left")
+    t = _tokens(spark, d)
     part = F.when(F.col("text_rep_level") == "dipl", "diplo").when(F.col("text_rep_level") == "norm", "norm").otherwise("mim")
-    s = t.where("split = 'train'").groupBy("sent_id", part.alias("p")).agg(F.count(F.lit(1)).alias("tokens"))
-    f = splits.factors(_tokens(spark, d), stats.corpus_stats(_tokens(spark, d)), ["sent_id"])
-    parts = {k: s.where(F.col("p") == k).drop("p") for k in ("diplo", "norm", "mim")}
-    parts |= {f"{k}_r": splits.replicate(v, f, ["sent_id"]).drop("copy") for k, v in parts.items() if k != "norm"}
-    return parts | {"old": parts["norm"], "old_r": splits.replicate(parts["norm"], f, ["sent_id"]).drop("copy")}
+    s = t.where("split = 'train'").groupBy("sent_id").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("tokens")).join(w, "source", "left").withColumn("p", part)
+    f = splits.factors(t, stats.corpus_stats(t), ["sent_id"]).select("sent_id", "factor")
+    one, rep = F.lit(1).cast("long"), F.col("factor")
+    sums = s.join(f, "sent_id").groupBy("p").agg(F.sum(one).alias("s"), F.sum("tokens").alias("t"), F.sum(rep).alias("sr"), F.sum(F.col("tokens") * rep).alias("tr"))
+    both = sums.select("p", F.explode(F.array(F.struct(F.lit("").alias("r"), F.col("s").alias("sentences"), F.col("t").alias("tokens")), F.struct(F.lit("_r").alias("r"), F.col("sr").alias("sentences"), F.col("tr").alias("tokens")))).alias("x"))
+    names = both.select(F.explode(F.when(F.col("p") == "norm", F.array(F.lit("norm"), F.lit("old"))).otherwise(F.array("p"))).alias("q"), "x.*").select(F.concat("q", "r").alias("part"), "sentences", "tokens")
+    uses = spark.createDataFrame([(e, p) for e, ps in experiments.items() for p in ps], "experiment string, part string")
+    return uses.join(names, "part").select("experiment", "part", "sentences", "tokens")
 
 
 _EXPERIMENT = f"""with {_PARTS}, w as (select source, min(text_rep_level) as lev from works group by source),
@@ -256,18 +261,14 @@ def _values(t: dict) -> str:
     return ", ".join(f"('{k}', '{p}')" for k, ps in t.items() for p in ps)
 
 
-def _sizes(d: DataFrame) -> DataFrame:
-    return d.groupBy("experiment", "part").agg(F.count(F.lit(1)).alias("sentences"), F.sum("tokens").alias("tokens"))
-
-
 @query(_EXPERIMENT.format(values=_values(splits.DIPLOMATIC)))
 def experiment_matrix_diplomatic(spark: SparkSession, d: str) -> DataFrame:
-    return _sizes(splits.experiments(_experiment_parts(spark, d), splits.DIPLOMATIC))
+    return _experiment_sizes(spark, d, splits.DIPLOMATIC)
 
 
 @query(_EXPERIMENT.format(values=_values(splits.NORMALISED)))
 def experiment_matrix_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return _sizes(splits.experiments(_experiment_parts(spark, d), splits.NORMALISED))
+    return _experiment_sizes(spark, d, splits.NORMALISED)
 
 
 def _part_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +300,17 @@ def contam_pairs(spark: SparkSession, d: str) -> DataFrame:
     return leakage.contained_pairs(table(spark, d, "documents"), table(spark, d, "abuse_review"), "doc_id", "review_id")
 
 
-@query()
+_GONE = "regexp_replace(acc.t, '(?i)' || e.p, '', 'g')"
+_SQUEEZED = strip(f"regexp_replace(regexp_replace(x.t, '[ ' || chr(9) || ']+', ' ', 'g'), chr(10) || '{WS}*' || chr(10), chr(10) || chr(10), 'g')")
+
+
+@query(f"""with d as (select doc_id, text, {_KEY} as t from documents), s as (select review_id, text as raw, {_KEY} as p from abuse_review),
+    hits as (select doc_id, list(array_to_string(list_transform(list_filter(string_split_regex(raw, '{WS}+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '{WS}+') order by review_id) as ps
+        from d join s on contains(t, p) where p <> '' and len(string_split(p, ' ')) >= 5 group by doc_id),
+    done as (select d.doc_id, list_reduce(list_prepend({{'t': text, 'p': '', 'n': 0}}, list_transform(ps, lambda p: {{'t': '', 'p': p, 'n': 0}})), lambda acc, e: {{'t': {_GONE}, 'p': '', 'n': acc.n + cast({_GONE} <> acc.t as integer)}}) as x
+        from d join hits on d.doc_id = hits.doc_id)
+    select doc_id, {_SQUEEZED} as text, x.n as removed from done
+    union all select doc_id, text, 0 from documents where doc_id not in (select doc_id from hits)""")
 def decontaminate(spark: SparkSession, d: str) -> DataFrame:
     docs, sents = table(spark, d, "documents"), table(spark, d, "abuse_review")
     return leakage.remove_sentences(docs, sents, leakage.contained_pairs(docs, sents, "doc_id", "review_id"), "doc_id", "review_id")

@@ -18,6 +18,7 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # checkpoints go when their frames go
     }
     if shuffle_partitions:
         defaults["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -42,8 +43,3 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"corpusforge-{os.getpid()}"))
     return df.checkpoint(eager=True)
-
-
-def is_small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most `rows` rows; reads no more than that many."""
-    return len(df.limit(rows + 1).select().collect()) <= rows

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusforge.functions.clean import strip_blank, unix_newlines
@@ -75,9 +76,20 @@ def running_text(lines: DataFrame, file: str = "file", ln: str = "ln", line: str
 
 
 def write_conll(tokens: DataFrame, path: str, keys: list[str], trailing_blank: bool = True) -> None:
-    """One text file in sentence order. With trailing_blank a blank line follows every sentence, else it stands between."""
-    s = sentence_strings(tokens, keys, "\n", ("token", "label"), name="value").orderBy(*keys)
-    s.select("value").coalesce(1).write.mode("overwrite").option("lineSep", "\n\n" if trailing_blank else "\n\n").text(path)
+    """One text file in sentence order. With trailing_blank a blank line follows every sentence, else it stands between
+    two sentences only. The format has one order, so one task writes; rows stream through it."""
+    s = sentence_strings(tokens, keys, "\n", ("token", "label"), name="value").orderBy(*keys).select("value")
+
+    def lines(batches):
+        first = True
+        for b in batches:
+            out = []
+            for v in b.column(0).to_pylist():
+                out += [v, ""] if trailing_blank else [v] if first else ["", v]
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    s.coalesce(1).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def tagged_lines(lines: DataFrame) -> DataFrame:

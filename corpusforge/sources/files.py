@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import html
 import json
+import shutil
+import tempfile
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from corpusforge.functions.clean import unix_newlines
@@ -62,17 +65,48 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
+    """One JSON array of objects, indented by two, characters as they are, nulls kept; written by one task row by row."""
+    rows = df.orderBy(*order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+    def lines(batches):
+        last = None
+        for b in batches:
+            out = []
+            for v in b.column(0).to_pylist():
+                out.append("[" if last is None else last + ",")
+                last = "\n".join("  " + x for x in json.dumps(json.loads(v), ensure_ascii=False, indent=2).split("\n"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([last, "]"], pa.string())], names=["value"])
+
+    if df.isEmpty():  # no task would write the brackets
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    else:
+        rows.coalesce(1).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
+MANIFEST_ROWS = 10_000  # the most rows of a manifest: parameters and sizes, not data
+
+
 def manifest(df: DataFrame, **settings) -> str:
-    """JSON of an experiment: settings, time and the rows of a small summary (parameters and sizes, not data)."""
-    rows = [r.asDict(True) for r in df.limit(10_000).collect()]
+    """JSON of an experiment: settings, time and the rows of a small summary. More than MANIFEST_ROWS rows are an error."""
+    got = df.limit(MANIFEST_ROWS + 1).collect()
+    if len(got) > MANIFEST_ROWS:
+        raise ValueError(f"a manifest holds {MANIFEST_ROWS} rows at most; write the table itself")
+    rows = [r.asDict(True) for r in got]
     return json.dumps({"created": datetime.now(timezone.utc).isoformat(), **settings, "experiments": rows}, ensure_ascii=False, indent=2, default=str)
 
 
 def write_html_report(df: DataFrame, path: str, title: str) -> None:
-    """A plain page with a table of df, written row by row."""
-    with open(path, "w", encoding="utf-8") as f:
+    """A page with a table of df and, in the element `data`, its rows as a JSON array for scripts; written row by row."""
+    page = df.select(*df.columns, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_json"))
+    with open(path, "w", encoding="utf-8") as f, tempfile.TemporaryFile("w+", encoding="utf-8") as data:
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
         f.write(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table><tr>{head}</tr>\n")
-        for r in df.toLocalIterator():
-            f.write("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in r) + "</tr>\n")
-        f.write("</table>\n")
+        for k, r in enumerate(page.toLocalIterator()):
+            f.write("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in r[:-1]) + "</tr>\n")
+            data.write((",\n" if k else "") + r[-1].replace("</", "<\\/"))
+        f.write('</table>\n<script type="application/json" id="data">[')
+        data.seek(0)
+        shutil.copyfileobj(data, f)
+        f.write("]</script>\n")

@@ -21,6 +21,7 @@ def test_runs_without_the_llm_folder(tmp_path):
     root = os.path.dirname(entry.__file__)
     shutil.copytree(os.path.join(root, "corpusforge"), tmp_path / "corpusforge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
-    out = subprocess.run([sys.executable, "-c", "import json, __spark_entry__ as e; print(json.dumps(sorted(e.queries())))"], cwd=tmp_path, capture_output=True, text=True, check=True)
-    names = json.loads(out.stdout)
+    run = "import json, __spark_entry__ as e; from corpusforge.runtime import session; s = session('local[2]', 2); assert e.entry(s).count() > 0; print(json.dumps(sorted(e.queries())))"
+    out = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, capture_output=True, text=True, check=True)
+    names = json.loads(out.stdout.strip().splitlines()[-1])
     assert "p6_found" in names and "p1_found" not in names and "corpus_stats_rareness" in names

@@ -210,3 +210,12 @@ def test_curation(spark):
     h.undo()
     assert {r["id"]: r["cluster"] for r in h.now.collect()}[0] == 0
     assert cluster.search(c, "T1").count() == 1 and cluster.export(c).count() == 3
+
+
+def test_blocks_of_names_align_alike(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Ari Sk ok ari - sk , Haraldr Gormsson".split()), (2, []), (3, None), (4, ["Haraldr", None, "Ari"])], "doc_id long, tokens array<string>")
+    names = spark.createDataFrame([(0, "Ari", "PER"), (1, "Ari-Sk", "LOC"), (2, "Haraldr", "PER"), (3, "Haraldr Gormsson", "PER"), (4, "ok", "ORG")], "ent long, text string, label string")
+    rows = lambda: sorted((r["doc_id"], r["tok_id"], str(r["token"]), r["label"]) for r in align.align(docs, names).collect())
+    one = rows()
+    monkeypatch.setattr(align, "BLOCK", 2)
+    assert rows() == one and len(one) == 12
