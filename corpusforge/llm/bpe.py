@@ -103,6 +103,8 @@ class BpeAutomaton:
                         key = x << 20 | t
                         ok = memo.get(key)
                         if ok is None:
+                            if len(memo) >= self.CACHE:
+                                memo.clear()
                             ok = memo[key] = self._has(after[x], t)
                         if not ok:
                             continue

@@ -1,18 +1,24 @@
 """Problem 2: sentence units in many languages and scripts.
 
-A lexer turns text into symbols (terminators, quotes, brackets, kinds of words). A deterministic transducer over the
-symbols decides where sentences start and end. Its run is data-parallel: the symbols of a batch, documents laid end to
-end with a reset between them, are cut into chunks; each chunk is evaluated as a function from state to state, the
-functions are composed by a prefix scan, and with the states at the chunk borders known all chunks emit at once. A long
-document is so many chunks, never a long loop.
+A lexer turns text into symbols (terminators, quotes, brackets, kinds of words; abbreviations, numbers and initials by
+regular expressions with a look at what follows). A deterministic transducer over the symbols decides where sentences
+start and end. Its run is data-parallel: the symbols of a batch, documents laid end to end with a reset between them, are
+cut into chunks; each chunk is evaluated as a function from state to state, the functions are composed by a prefix scan,
+and with the states at the chunk borders known all chunks emit at once. A document longer than LONG is cut into pieces
+that are tasks of their own: a first pass gives the function of each piece, these are composed per document, and a second
+pass emits the sentences of each piece from its now known state. Pieces meet only where the lexer looks at neither side.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from corpusforge.runtime import cut
 
 # Abbreviations that stand before a name, a number or a word and end no sentence.
 BEFORE = "hr sr fr frú herra Mr Mrs Ms Dr St fol sbr cf jf vs dvs MSS MS f.eks"
@@ -29,6 +35,11 @@ CJK_REPORT = r"と|[他她它我你您们她]{1,2}.{0,3}[说問问答道喊叫
 # Second parts of compound names; names start no clause of their own after a break.
 NAME_ENDS = "brandr geirr gautr steinn viðr varðr mundr grímr kell leifr laugr laug hvatr þegn finnr bjǫrn valdr dís gerðr hildr ný ríðr veig þrúðr fjall nes múli fjǫrðr skógr bakki sandr hóll heiðr fell dalr vík staðir hamarr"
 
+LONG = 1_000_000  # characters of a text that one task reads; longer ones are cut into pieces of about this size
+#: Where the lexer looks neither back nor ahead: after a lower-case word of five letters or more, after a full stop of
+#: scripts without spaces, after a line break in Thai.
+CUT = regex.compile(r"(?<=\p{Ll}{5}) (?=\p{L})|(?<=[。！？।॥᛭])(?=\p{L})|(?<=[฀-๿])\n(?=[฀-๿])")
+
 SYMBOLS = "RESET PARA THB TERM WEAK NUMDOT LOW LOWB REP CAP NAME NEU PUNCT OB CB Q_LOW Q_66 Q_99 Q_LL Q_RR Q_STR Q_OPEN Q_CLOSE".split()
 SYM = {s: i for i, s in enumerate(SYMBOLS)}
 PHASES = "NONE IN TERM TERMQ WEAK DONE".split()
@@ -175,11 +186,16 @@ class Lexer:
             return "NAME" if self.name.match(w) else "CAP"
         return "NEU"
 
-    def symbols(self, text: str) -> tuple[list[int], list[int], list[int]]:
+    def is_small(self, text: str) -> bool:
+        """Whether a text is one without capitals: its first letter tells."""
+        m = self.first.search(text)
+        return bool(m) and m[0].islower()
+
+    def symbols(self, text: str, small: bool | None = None) -> tuple[list[int], list[int], list[int]]:
+        """Symbols with first place and place after the last; `small` of the whole text, if this is a piece of it."""
         sym, begin, end = [], [], []
         fixed, no, words, kind_of = self.fixed, self.no, self.words, self._word
-        m = self.first.search(text)
-        small = bool(m) and m[0].islower()  # a text without capitals
+        small = self.is_small(text) if small is None else small
         low = SYM["LOWB"] if small else SYM["LOW"]
         CAP, NAME, NEU, REP, WEAKS, TERMS, PUNCT = (SYM[x] for x in ("CAP", "NAME", "NEU", "REP", "WEAK", "TERM", "PUNCT"))
         after_subject = False
@@ -231,11 +247,52 @@ class Lexer:
 _LEXER: list[Lexer] = []
 
 
-def split_sentences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end inclusive) of every sentence of a list of texts."""
+def lexer_of_worker() -> Lexer:
     if not _LEXER:
         _LEXER.append(Lexer())
-    lexer = _LEXER[0]
+    return _LEXER[0]
+
+
+def pieces(text: str, long: int = LONG) -> list[int]:
+    """Starts of the pieces of a text: the first places to cut at or after each multiple of `long`."""
+    at, out = long, [0]
+    while at < len(text):
+        m = CUT.search(text, at)
+        if not m:
+            break
+        out.append(m.end())
+        at = m.end() + long
+    return out
+
+
+def piece_function(sym: np.ndarray) -> np.ndarray:
+    """The state after the symbols, for every state before them."""
+    f = np.arange(STATES, dtype=np.uint8)
+    cut = sym[: len(sym) // 512 * 512].reshape(-1, 512)
+    if len(cut):  # chunks side by side, then one after the other
+        g = np.broadcast_to(f, (len(cut), STATES)).copy()
+        for i in range(512):
+            g = NEXT[g, cut[:, i, None]]
+        for row in g:
+            f = row[f]
+    for x in sym[len(cut) * 512 :]:
+        f = NEXT[f, x]
+    return f
+
+
+def run_from(sym: np.ndarray, state: int) -> np.ndarray:
+    """Action of each symbol, from a state."""
+    out = np.empty(len(sym), np.uint8)
+    nxt, act = NEXT.tolist(), ACTION.tolist()
+    for i, x in enumerate(sym.tolist()):
+        out[i] = act[state][x]
+        state = nxt[state][x]
+    return out
+
+
+def split_sentences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end inclusive) of every sentence of a list of texts."""
+    lexer = lexer_of_worker()
     sym, begin, end, row = [], [], [], []
     reset = SYM["RESET"]
     for i, t in enumerate(texts):
@@ -260,11 +317,12 @@ def split_sentences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np
     return row[starts], begin[starts], end[stops] - 1
 
 
-def sentences(df: DataFrame, id_col: str = "text_id", text_col: str = "text") -> DataFrame:
+def sentences(df: DataFrame, id_col: str = "text_id", text_col: str = "text", long: int = LONG) -> DataFrame:
     """(id_col, sentence, start_pos, end_pos): one row per sentence, in code points, ends inclusive, blanks outside.
 
     Null, empty and blank texts have no sentence. A text without any terminator is one sentence per paragraph. Repeated
-    rows give their sentences again; other columns are ignored. No shuffle.
+    rows give their sentences again; other columns are ignored. Texts of up to `long` characters are read whole in one
+    pass without a shuffle; longer ones in pieces by many tasks, with the same result.
     """
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("sentence", T.IntegerType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
 
@@ -278,4 +336,78 @@ def sentences(df: DataFrame, id_col: str = "text_id", text_col: str = "text") ->
                 number = np.arange(len(row)) - np.repeat(at, np.diff(np.r_[at, len(row)])) if len(row) else row
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    size = F.length(text_col)
+    short = df.where(size <= long).select(id_col, text_col).mapInArrow(run, schema)
+    lengthy = df.where(size > long).select(id_col, text_col)
+    return short if lengthy.isEmpty() else short.unionByName(_long_sentences(lengthy, schema, long))
+
+
+def _long_sentences(df: DataFrame, schema: T.StructType, long: int) -> DataFrame:
+    """Sentences of long texts: pieces, their functions, the state before each piece, then the sentences of each piece.
+    What a piece leaves open at either side, one end and one start at most, is put together per document."""
+    id_col, id_type = schema[0].name, schema[0].dataType.simpleString()
+
+    def chop(batches):
+        lexer = lexer_of_worker()
+        for b in batches:
+            for i, t in enumerate(b.column(1).to_pylist()):
+                starts = pieces(t, long)
+                small = lexer.is_small(t)
+                uid = uuid.uuid5(uuid.NAMESPACE_OID, str(b.column(2)[i].as_py())).bytes
+                for k, (lo, hi) in enumerate(zip(starts, [*starts[1:], len(t)])):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([uid]), pa.array([k], pa.int32()), pa.array([lo], pa.int64()), pa.array([small]), pa.array([hi == len(t)]), pa.array([t[lo:hi]])],
+                                                     names=["id", "uid", "k", "lo", "small", "last", "piece"])
+
+    def read(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sym, begin, end = lexer_of_worker().symbols(r["piece"], r["small"])
+        if r["last"]:
+            sym, begin, end = [*sym, SYM["RESET"]], [*begin, 0], [*end, 0]
+        return np.array(sym, np.uint8), np.array(begin, np.int64) + r["lo"], np.array(end, np.int64) + r["lo"]
+
+    def real(sym):
+        return ~np.isin(sym, (SYM["THB"], SYM["PARA"], SYM["RESET"]))
+
+    def functions(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                sym, _, end = read(r)
+                ends = end[real(sym)]
+                yield pa.RecordBatch.from_arrays([pa.array([r["uid"]]), pa.array([r["k"]], pa.int32()), pa.array([piece_function(sym).tobytes()]), pa.array([int(ends[-1]) - 1 if len(ends) else -1], pa.int64())], names=["uid", "k", "f", "end"])
+
+    def compose(table: pa.Table) -> pa.Table:
+        state, end, out = _state(NONE, 0, 0), -1, []
+        for r in sorted(table.to_pylist(), key=lambda r: r["k"]):
+            out.append((r["uid"], r["k"], state, end))
+            state = int(np.frombuffer(r["f"], np.uint8)[state])
+            end = max(end, r["end"])
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32(), pa.int64()))], names=["uid", "k", "state", "before"])
+
+    def emit(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                sym, begin, end = read(r)
+                act = run_from(sym, r["state"])
+                last = np.maximum.accumulate(np.where(real(sym), end - 1, r["before"]))  # the end of the last symbol of a sentence
+                stops = np.flatnonzero(act & 1)
+                ends = np.where(stops > 0, last[np.maximum(stops, 1) - 1], r["before"])
+                starts = begin[np.flatnonzero(act & 2)]
+                open_ = r["state"] // (2 * QUOTES) != NONE  # the piece begins inside a sentence
+                n = len(starts) + open_
+                first = [None] * bool(open_) + starts.tolist()
+                final = ends.tolist() + [None] * (n - len(ends))
+                yield pa.RecordBatch.from_arrays([pa.array([r["id"]] * n, b.schema.field("id").type), pa.array([r["uid"]] * n, pa.binary()), pa.array([r["k"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(first, pa.int64()), pa.array(final, pa.int64())],
+                                                 names=["id", "uid", "k", "i", "s", "e"])
+
+    # the number tells repeated rows apart; it is fixed by the checkpoint
+    parts = cut(df.withColumn("_n", F.monotonically_increasing_id()).mapInArrow(chop, f"id {id_type}, uid binary, k int, lo long, small boolean, last boolean, piece string").repartition(F.col("uid"), F.col("k")))
+    states = parts.mapInArrow(functions, "uid binary, k int, f binary, end long").groupBy("uid").applyInArrow(compose, "uid binary, k int, state int, before long")
+    rows = cut(parts.join(states, ["uid", "k"]).mapInArrow(emit, f"id {id_type}, uid binary, k int, i int, s long, e long"))
+    # open at the right (no end) and at the left (no start): the next of these in the document belongs to it
+    w = Window.partitionBy("uid").orderBy("k", "i")
+    open_ = rows.where("s is null or e is null").withColumn("e", F.first("e", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))).where("s is not null")
+    whole = rows.where("s is not null and e is not null").unionByName(open_)
+    counts = rows.where("s is not null").groupBy("uid", "k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("uid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = counts.select("uid", "k", "least", before.alias("before"))
+    out = whole.join(offset, ["uid", "k"]).withColumn("sentence", (F.col("before") + F.col("i") - F.col("least")).cast("int"))
+    return out.select(F.col("id").alias(id_col), "sentence", F.col("s").alias("start_pos"), F.col("e").alias("end_pos"))

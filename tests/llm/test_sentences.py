@@ -67,3 +67,21 @@ def test_spans_are_trimmed_and_ordered(spark, sf_dir):
     s = sentences(t).join(t.select("text_id", "text"), "text_id").selectExpr("*", "substring(text, start_pos + 1, end_pos - start_pos + 1) as s")
     assert s.where("s <> trim(s) or s = '' or length(s) <> end_pos - start_pos + 1").count() == 0
     assert SYM["RESET"] == 0
+
+
+def test_texts_in_pieces_give_the_same(spark, sf_dir):
+    """Pieces of a few hundred characters over many tasks against texts read whole."""
+    t = spark.read.parquet(f"{sf_dir}/clean_text.parquet").select("text_id", "text")
+    rows = t.where("length(text) > 0").limit(200).collect()
+    joined = [(-i - 1, "\n\n".join(r["text"] for r in rows[i::4])) for i in range(4)] + [(-9, "orð " * 3_000), (-10, "ok " * 3_000), (-1, "x")]
+    df = t.unionByName(spark.createDataFrame([*joined, joined[0]], "text_id long, text string")).cache()
+    key = lambda f: sorted(tuple(r) for r in f.collect())
+    want = key(sentences(df))
+    assert key(sentences(df, long=300)) == want and len(want) > 800
+
+
+def test_one_long_text(spark):
+    unit = "Hann kom þar siðan aptr. Hon fór heim!\n\n"
+    df = spark.createDataFrame([(1, unit * 20_000)], "text_id long, text string")
+    got = sentences(df, long=50_000).agg({"sentence": "max", "end_pos": "max", "*": "count"}).first()
+    assert sorted(got) == [39_999, 40_000, 20_000 * len(unit) - 3]
