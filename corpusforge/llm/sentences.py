@@ -143,6 +143,9 @@ class Lexer:
     def __init__(self):
         names = _alt(NAME_ENDS)
         word = r"[\p{L}\p{M}][\p{L}\p{M}\p{N}'’ʼ\-]*"
+        # after any word the transducer is inside a sentence, where further words and commas change nothing: they are read
+        # with it, unless a dot or a sign of words follows
+        more = r"(?:,?[ \n][\p{Latin}\p{Cyrillic}\p{Greek}][\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]*+(?![.…\p{L}\p{M}\p{N}'’ʼ\-]))*+"
         self.name = regex.compile(rf"\p{{Lu}}\p{{M}}*[\p{{Ll}}\p{{M}}]*(?:{names})(?:s|i|ar|)$|\p{{Lu}}[\p{{Ll}}\p{{M}}]*(?:sson|arson|dóttir)$")
         start = r"(?<![\p{L}\p{M}\p{N}])"
         nxt_name = rf"(?=\s+(?:\p{{Ll}}|\p{{Lu}}[\p{{L}}\p{{M}}]*(?:{names})))"
@@ -163,7 +166,7 @@ class Lexer:
             ("CB", r"[)\]）】〕]"),
             ("Q_LOW", "[„‚]"), ("Q_66", "[“]"), ("Q_99", "[”]"), ("Q_LL", "[«]"), ("Q_RR", "[»]"), ("Q_STR", '["]'), ("Q_OPEN", "[「『《〈]"), ("Q_CLOSE", "[」』》〉]"),
             ("CJK", r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+"),
-            ("WORD", word),
+            ("WORD", word + more),
             ("OTHER", r"\S"),
         ]
         self.kinds = [k for k, _ in parts]
@@ -205,7 +208,7 @@ class Lexer:
                 continue
             s = fixed.get(k)
             if k == no["WORD"]:
-                w = m[0]
+                w = m[0].split(None, 1)[0].rstrip(",")
                 kind = words.get(w)
                 if kind is None:
                     if len(words) > 200_000:
@@ -213,7 +216,7 @@ class Lexer:
                     kind = words[w] = kind_of(w)
                 if kind == "low":
                     s = REP if w in self.report else low
-                    if s == low and small and w in self.subject and sym and self._reported(text, m.end()):
+                    if s == low and small and w in self.subject and sym and self._reported(text, m.start() + len(w)):
                         s = REP
                 else:
                     s = SYM[kind]
