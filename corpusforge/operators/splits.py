@@ -5,10 +5,13 @@ Membership follows the rank of a hash of seed and key, so that it does not depen
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusforge.operators.ranking import salted_rank
-from corpusforge.operators.stats import corpus_stats
+from corpusforge.operators.stats import rareness
+from corpusforge.runtime import cut
 
 
 def hash_key(seed: int, *cols: str) -> Column:
@@ -77,8 +80,18 @@ def factors(tokens: DataFrame, stats: DataFrame, keys: list[str], method: str =
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
+    return counted_factors(type_counts(tokens, keys), stats, keys, method)
+
+
+def type_counts(tokens: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """(keys, type, c): tokens of each type in each sentence, under a null type those without; `more` aggregates beside them."""
     t = tokens.withColumn("type", F.when(F.col("label").rlike("^[BI]-"), F.expr("substring(label, 3)")))
-    c = t.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("c")).join(stats.select("type", "rareness"), "type", "left")
+    return t.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("c"), *more)
+
+
+def counted_factors(counts: DataFrame, stats: DataFrame, keys: list[str], method: str = "sCR") -> DataFrame:
+    """As factors, from type_counts."""
+    c = counts.join(stats.select("type", "rareness"), "type", "left")
     r, e = F.coalesce("rareness", F.lit(1.0)), F.col("type").isNotNull()
     s = c.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.when(e, F.col("c"))).alias("k"), F.sum(F.when(e, r * F.col("c"))).alias("rc"), F.sum(F.when(e, r * F.sqrt("c"))).alias("rs"))
     f = {"sC": 1 + F.col("k"), "sCR": 1 + F.ceil(F.sqrt("rc")), "sCRD": 1 + F.ceil(F.col("rc") / F.sqrt("n")), "nsCRD": 1 + F.ceil(F.col("rs") / F.sqrt("n"))}[method]
@@ -102,21 +115,6 @@ DIPLOMATIC = {
     "diplo_plus_mim": ("diplo", "mim"), "diplo_resamp_plus_mim": ("diplo_r", "mim"), "diplo_plus_norm_plus_mim": ("diplo", "norm", "mim"), "diplo_resamp_plus_norm_plus_mim": ("diplo_r", "norm", "mim"),
 }
 
-
-def experiments(parts: dict[str, DataFrame], table: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Training sets of all experiments whose parts are there, one under the other, with the column experiment."""
-    out = None
-    for name, uses in table.items():
-        if any(u not in parts for u in uses):
-            continue
-        for u in uses:
-            d = parts[u].withColumns({"experiment": F.lit(name), "part": F.lit(u)})
-            out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    if out is None:
-        raise ValueError("no experiment has all its parts")
-    return out
-
-
 #: Training sets over the split corpus `old`; the other corpus goes in whole, as in the scripts.
 NORMALISED_SETS = {"baseline_mim": ("old", "mim"), "baseline_mim_resamp": ("old_r", "mim"), "old_ice_only": ("old",), "old_ice_resamp": ("old_r",)}
 
@@ -127,19 +125,34 @@ def experiment_sets(tokens: DataFrame, target: str, others: list[str], table: di
 
     tokens has sent_id, part and label. The part `target` (in the table under `name`) is split by strata; its training part
     alone gives the rareness and is replicated. Other parts go in whole; experiments of a part without rows are left out.
+
+    Tokens are counted once per sentence and type and sentences are split once; a row is then repeated for the experiments
+    that use it, so the plan does not grow with their number.
     """
     name = name or target
-    own = tokens.where(F.col("part") == target)
     has = lambda x: F.coalesce(F.bool_or(F.col("label").rlike(f"^.-{x}$")), F.lit(False))
-    sents = own.groupBy("sent_id").agg(has("Person").alias("has_person"), has("Location").alias("has_location"), F.count(F.lit(1)).alias("tokens"))
-    split = stratified_split(sents, ["sent_id"], seed=seed).select("sent_id", "split", "tokens")
-    train = split.where("split = 'train'").drop("split")
+    counts = cut(type_counts(tokens.where(F.col("part").isin(target, *others)), ["part", "sent_id"], has("Person").alias("has_person"), has("Location").alias("has_location")))
+    there = {name, f"{name}_r", *(r["part"] for r in counts.where(F.col("part").isin(*others)).select("part").distinct().collect())}
+    table = {e: uses for e, uses in table.items() if there.issuperset(uses)}
+    if not table:
+        raise ValueError("no experiment has all its parts")
+    own = counts.where(F.col("part") == target).drop("part")
+    sents = own.groupBy("sent_id").agg(F.bool_or("has_person").alias("has_person"), F.bool_or("has_location").alias("has_location"), F.sum("c").alias("tokens"))
+    split = cut(stratified_split(sents, ["sent_id"], seed=seed).select("sent_id", "split", "tokens"))
+    train = split.where("split = 'train'")
     kept = own.join(train.select("sent_id"), "sent_id", "left_semi")
-    parts = {name: train.withColumn("copy", F.lit(1).cast("long")), f"{name}_r": replicate(train, factors(kept, corpus_stats(kept), ["sent_id"], method), ["sent_id"])}
-    for o in others:
-        whole = tokens.where(F.col("part") == o)
-        if not whole.isEmpty():
-            parts[o] = whole.groupBy("sent_id").agg(F.count(F.lit(1)).alias("tokens")).withColumn("copy", F.lit(1).cast("long"))
-    sets = experiments(parts, table).withColumn("split", F.lit("train"))
-    shared = split.where("split <> 'train'").withColumns({"experiment": F.lit("shared"), "part": F.lit(name), "copy": F.lit(1).cast("long")})
-    return sets.unionByName(shared).select("experiment", "split", "part", "sent_id", "copy", "tokens")
+    total = kept.agg(F.sum("c").alias("total"))
+    rare = kept.where("type is not null").groupBy("type").agg(F.sum("c").alias("n")).join(F.broadcast(total)).select("type", rareness(F.col("n"), F.col("total")).alias("rareness"))  # one row
+    one = F.lit(1).cast("long")
+
+    def used(df: DataFrame, part: Column, parts: list[str]) -> DataFrame:
+        by_part = [(F.lit(p), F.array(*[F.lit(e) for e, uses in table.items() for u in uses if u == p]).cast("array<string>")) for p in parts]
+        return df.withColumn("part", part).withColumn("experiment", F.explode(F.create_map(*[x for pair in by_part for x in pair])[F.col("part")]))
+
+    whole = counts.where(F.col("part").isin(*others)).groupBy("part", "sent_id").agg(F.sum("c").alias("tokens")).withColumns({"split": F.lit("train"), "copy": one})
+    copies = replicate(train, counted_factors(kept, rare, ["sent_id"], method), ["sent_id"])
+    sets = [used(train.withColumn("copy", one), F.lit(name), [name]), used(copies, F.lit(f"{name}_r"), [f"{name}_r"])]
+    sets += [used(whole, F.col("part"), list(others))] if others else []
+    sets += [split.where("split <> 'train'").withColumns({"experiment": F.lit("shared"), "part": F.lit(name), "copy": one})]
+    out = [x.select("experiment", "split", "part", "sent_id", "copy", "tokens") for x in sets]
+    return reduce(DataFrame.unionAll, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def labelled(tokens: DataFrame) -> DataFrame:
@@ -23,6 +23,10 @@ def types_per_sentence(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return labelled(tokens).groupBy(*keys).agg(F.sort_array(F.collect_set("type")).alias("types"))
 
 
+def rareness(tokens: Column, total: Column) -> Column:
+    return F.round(-F.log2(tokens / total), 6)
+
+
 def corpus_stats(tokens: DataFrame, sent: str = "sent_id") -> DataFrame:
     """Per type: entities, tokens, sentences that have it (by B-), rareness -log2(tokens / all tokens), and totals.
 
@@ -33,7 +37,7 @@ def corpus_stats(tokens: DataFrame, sent: str = "sent_id") -> DataFrame:
     t = labelled(tokens).groupBy(sent, "type").agg(F.count(F.lit(1)).alias("k"), F.count(F.when(F.col("label").startswith("B-"), 1)).alias("b"))
     by = t.groupBy("type").agg(F.sum("b").alias("entities"), F.sum("k").alias("tokens"), F.count(F.when(F.col("b") > 0, 1)).alias("sentences_with"))
     out = by.join(F.broadcast(total))  # one row
-    return out.select("type", "entities", "tokens", "sentences_with", "sentences", "total_tokens", F.round(-F.log2(F.col("tokens") / F.col("total_tokens")), 6).alias("rareness"))
+    return out.select("type", "entities", "tokens", "sentences_with", "sentences", "total_tokens", rareness(F.col("tokens"), F.col("total_tokens")).alias("rareness"))
 
 
 def histogram(df: DataFrame, *cols: str) -> DataFrame:

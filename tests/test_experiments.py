@@ -30,3 +30,9 @@ def test_training_never_meets_dev_and_test(spark, sf_dir, name):
     got = catalog.QUERIES[name](spark, sf_dir).collect()
     held = {r["sent_id"] for r in got if r["experiment"] == "shared"}
     assert held and not held & {r["sent_id"] for r in got if r["experiment"] != "shared"}
+
+
+@pytest.mark.parametrize("name", ["experiment_sets_diplomatic", "experiment_sets_normalised"])
+def test_plan_of_the_sets_stays_small(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\n") < 150
