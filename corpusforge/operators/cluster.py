@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusforge.functions.similarity import jaro
 from corpusforge.runtime import cut
 
-LIMIT = 1_000  # names in a block; every block of a kind is compared with every other
+LIMIT = 4_000  # names in a block, neighbours in the order of their letters
 AT_ONCE = 32_768  # pairs in one vector operation
+WIDE = 64  # characters of a name that goes by bit vectors
+SLACK = 1e-5  # what bounds in single precision may be off
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -40,93 +44,111 @@ def text_distance(a: str, b: str) -> float:
 
 
 def text_distances(a: list[str], b: list[str]) -> np.ndarray:
-    """text_distance of every a with every b. Names of up to 64 characters go by bit vectors, longer ones one by one."""
-    a, b = [x.lower() for x in a], [x.lower() for x in b]
-    out = np.empty((len(a), len(b)))
-    ra, rb = ([i for i, x in enumerate(t) if len(x) <= 64] for t in (a, b))
-    ra.sort(key=lambda i: len(a[i]))
-    if ra and rb:
-        code = {c: k for k, c in enumerate(sorted(set("".join(a[i] for i in ra) + "".join(b[j] for j in rb))))}
-        lb = np.array([len(b[j]) for j in rb])
-        at = np.zeros((len(code) + 1, len(rb)), np.uint64)  # where each character stands in each b; the last row is of none
-        first = np.full((len(rb), 65), -2)
-        for k, j in enumerate(rb):
-            for i, c in enumerate(b[j]):
-                at[code[c], k] |= np.uint64(1 << i)
-                first[k, i] = code[c]
-        step = max(1, AT_ONCE // len(rb))
-        for s in range(0, len(ra), step):
-            rows = ra[s : s + step]
-            out[np.ix_(rows, rb)] = _bit_distances([[code[c] for c in a[i]] for i in rows], at, first, lb)
-    for i in range(len(a)):
-        for j in range(len(b)) if len(a[i]) > 64 else [j for j in range(len(b)) if len(b[j]) > 64]:
-            out[i, j] = text_distance(a[i], b[j])
-    return out
+    """text_distance of every a with every b."""
+    n = Names([*a, *b])
+    return n.distances(np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(a), len(n.text)), len(a))).reshape(len(a), len(b))
+
+
+class Names:
+    """Lower-case names as arrays, for distances of many pairs and for bounds below them."""
+
+    def __init__(self, texts: list[str]):
+        self.text = [x.lower() for x in texts]
+        self.length = np.array([len(x) for x in self.text], int)
+        wide = np.array(self.text, f"U{WIDE}")
+        points = wide.view(np.uint32).reshape(len(self.text), WIDE) if len(self.text) else np.zeros((0, WIDE), np.uint32)
+        self.points = points[:, : max(1, min(WIDE, int(self.length.max(initial=0))))]
+        self.bags = self._bags()
+
+    def _bags(self) -> np.ndarray:
+        """Two words of bits a name: one bit, by hash, for the k-th of a character, so that bits that another name lacks
+        stand for as many characters that it lacks at least."""
+        out, rows = np.zeros((2, len(self.text)), np.uint64), np.arange(len(self.text))
+        for i in range(self.points.shape[1]):
+            at = rows[(self.length > i) & (self.length <= WIDE)]
+            c = self.points[at, i]
+            bit = _bit(c.astype(np.uint64), (self.points[at, :i] == c[:, None]).sum(axis=1).astype(np.uint64))
+            for k in (0, 1):
+                own = bit // 64 == k
+                out[k, at[own]] |= np.uint64(1) << bit[own] % np.uint64(64)
+        for r in np.flatnonzero(self.length > WIDE):
+            each = np.array([(ord(c), k) for c, n in Counter(self.text[r]).items() for k in range(n)], np.uint64)
+            for bit in set(_bit(*each.T).tolist()):
+                out[bit // 64, r] |= np.uint64(1 << bit % 64)
+        return out
+
+    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """text_distance of each name i with the name j beside it: up to 64 characters by bit vectors, longer ones one by one."""
+        out = np.empty(len(i))
+        short = np.flatnonzero((self.length[i] <= WIDE) & (self.length[j] <= WIDE))
+        short = short[np.argsort(self.length[i[short]], kind="stable")]
+        for s in range(0, len(short), AT_ONCE):
+            k = short[s : s + AT_ONCE]
+            out[k] = self._bit_distances(i[k], j[k])
+        for k in np.flatnonzero((self.length[i] > WIDE) | (self.length[j] > WIDE)):
+            out[k] = text_distance(self.text[i[k]], self.text[j[k]])
+        return out
+
+    def _bit_distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs with i in the order of lengths: Jaro and Levenshtein over bit vectors."""
+        one, la, lb, n = np.uint64(1), self.length[i], self.length[j], len(i)
+        top = int(la.max())
+        some, col = np.unique(j, return_inverse=True)
+        known, code = np.unique(self.points[some], return_inverse=True)
+        if len(known) * len(some) > 1 << 22 and n > 64:  # many different characters
+            half = n // 2
+            return np.concatenate([self._bit_distances(i[:half], j[:half]), self._bit_distances(i[half:], j[half:])])
+        code = code.reshape(len(some), -1)
+        at = np.zeros((len(known) + 1) * len(some), np.uint64)  # where each character stands in each j; the last row is of none
+        for k in range(code.shape[1]):
+            rows = np.flatnonzero(self.length[some] > k)
+            at[code[rows, k] * len(some) + rows] |= one << np.uint64(k)
+        a = self.points[i, :top].T
+        place = np.minimum(np.searchsorted(known, a), len(known) - 1)
+        place = np.where(known[place] == a, place, len(known)) * len(some) + col
+        begin = np.searchsorted(la, np.arange(top), "right")  # pairs from there on have a character here
+        longest = np.maximum(la, lb)
+        reach = np.maximum(0, longest // 2 - 1)
+        window = np.where(reach >= 63, ~np.uint64(0), (one << np.minimum(reach + 1, 63).astype(np.uint64)) - one)
+        used, hits, vp, vn = np.zeros(n, np.uint64), [], np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
+        for t in range(top):
+            k = int(begin[t])
+            m = at[place[t, k:]]
+            x = m & ~used[k:] & window[k:]
+            x &= np.negative(x)
+            used[k:] |= x
+            hits.append(x != 0)
+            window[k:] <<= one
+            window[k:] |= reach[k:] > t
+            p, v = vp[k:], vn[k:]
+            m |= v
+            x = ((m & p) + p ^ p) | m
+            up, down = (~(p | x) | v) << one | one, (p & x) << one
+            vn[k:], vp[k:] = up & x, down | ~(up | x)
+        full = np.where(lb >= 64, ~np.uint64(0), (one << np.minimum(lb, 63).astype(np.uint64)) - one)
+        edits = la + np.bitwise_count(vp & full).astype(int) - np.bitwise_count(vn & full).astype(int)
+        found, left, swaps = np.bitwise_count(used).astype(float), used, np.zeros(n, np.uint8)
+        for t, hit in enumerate(hits):
+            k = int(begin[t])
+            low = left[k:] & np.negative(left[k:])
+            low *= hit
+            left[k:] ^= low
+            swaps[k:] += hit & ((at[place[t, k:]] & low) == 0)
+        prefix, same = np.zeros(n, int), np.ones(n, bool)
+        for t in range(min(top, self.points.shape[1])):
+            same &= (t < la) & (t < lb) & (self.points[i, t] == self.points[j, t])
+            if not same.any():
+                break
+            prefix += same
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro_ = np.where(found == 0, 0.0, (found / la + found / lb + (found - swaps / 2) / found) / 3)
+            d = 1 - (0.40 * jaro_ + 0.35 * (1 - edits / longest) + 0.25 * prefix / longest)
+        return np.where(edits == 0, 0.0, d)
 
 
-def _bit_distances(a: list[list[int]], at: np.ndarray, first: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Rows a (codes, by length) against the columns whose characters stand in `at`: Jaro and Levenshtein over bit vectors."""
-    one, la = np.uint64(1), np.array([len(x) for x in a])
-    top, shape = int(la.max()), (len(a), len(lb))
-    codes = np.full((len(a), top + 1), len(at) - 1)
-    for k, x in enumerate(a):
-        codes[k, : len(x)] = x
-    longest = np.maximum(la[:, None], lb[None, :])
-    reach = np.maximum(0, longest // 2 - 1)
-    window = np.where(reach >= 63, ~np.uint64(0), (one << np.minimum(reach + 1, 63).astype(np.uint64)) - one)
-    reach = reach.astype(np.uint8)
-    used, hits, vp, vn = np.zeros(shape, np.uint64), [], np.full(shape, ~np.uint64(0)), np.zeros(shape, np.uint64)
-    scratch = [np.empty(shape, np.uint64) for _ in range(3)]
-    for i in range(top):
-        k = int(np.searchsorted(la, i, "right"))  # rows from k on have a character here
-        m, x, t = (z[k:] for z in scratch)
-        np.take(at, codes[k:, i], axis=0, out=m, mode="clip")
-        np.invert(used[k:], out=x)
-        x &= m
-        x &= window[k:]
-        x &= np.negative(x, out=t)
-        used[k:] |= x
-        hits.append((k, x != 0))
-        window[k:] <<= one
-        window[k:] |= reach[k:] > i
-        p, n = vp[k:], vn[k:]
-        m |= n
-        np.bitwise_and(m, p, out=x)
-        x += p
-        x ^= p
-        x |= m
-        np.bitwise_and(p, x, out=t)
-        np.invert(np.bitwise_or(p, x, out=m), out=m)
-        m |= n
-        m <<= one
-        m |= one
-        np.bitwise_and(m, x, out=n)
-        m |= x
-        np.invert(m, out=m)
-        t <<= one
-        np.bitwise_or(t, m, out=p)
-    full = np.where(lb >= 64, ~np.uint64(0), (one << np.minimum(lb, 63).astype(np.uint64)) - one)
-    edits = la[:, None] + np.bitwise_count(vp & full).astype(int) - np.bitwise_count(vn & full).astype(int)
-    found, left, swaps = np.bitwise_count(used).astype(float), used, np.zeros(shape, np.uint8)
-    for i, (k, hit) in enumerate(hits):
-        m, low, _ = (z[k:] for z in scratch)
-        np.take(at, codes[k:, i], axis=0, out=m, mode="clip")
-        np.negative(left[k:], out=low)
-        low &= left[k:]
-        low *= hit
-        left[k:] ^= low
-        m &= low
-        swaps[k:] += hit & (m == 0)
-    prefix, same = np.zeros(shape, int), np.ones(shape, bool)
-    for i in range(min(top, 64)):
-        same &= codes[:, i, None] == first[None, :, i]
-        if not same.any():
-            break
-        prefix += same
-    with np.errstate(divide="ignore", invalid="ignore"):
-        j = np.where(found == 0, 0.0, (found / la[:, None] + found / lb + (found - swaps / 2) / found) / 3)
-        d = 1 - (0.40 * j + 0.35 * (1 - edits / longest) + 0.25 * prefix / longest)
-    return np.where(edits == 0, 0.0, d)
+def _bit(c: np.ndarray, k: np.ndarray) -> np.ndarray:
+    h = (c + (k << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h >> np.uint64(57)
 
 
 def distances(a: list[str], b: list[str], va: np.ndarray | None, vb: np.ndarray | None, text_weight: float = 0.60) -> np.ndarray:
@@ -183,19 +205,6 @@ def shortest_edges(d: np.ndarray, rows: np.ndarray, cols: np.ndarray | None = No
         d[pr()[:, None] == pc()[None, :]] = np.inf
 
 
-def spanning(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the edges make the minimum spanning forest, in its order."""
-    _, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    order, out = np.lexsort((b, a, w)), []
-    root, ends = list(range(len(ends))), ends.tolist()
-    for k in order.tolist():
-        p, q = _root(root, ends[k]), _root(root, ends[k + len(a)])
-        if p != q:
-            root[p] = q
-            out.append(k)
-    return np.array(out, int)
-
-
 def _root(root: list[int], x: int) -> int:
     while root[x] != x:
         root[x] = root[root[x]]
@@ -257,51 +266,215 @@ def _points(node: int, kids: dict) -> list[int]:
     return out
 
 
-def cluster_names(df: DataFrame, kind: str = "kind", text: str = "text", vector: str | None = "embedding", key: str = "id", limit: int = LIMIT) -> DataFrame:
+def least_prefix(length: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """How many first letters a name shares at least with any other within the bound (of the text distance).
+
+    Names that differ after p letters are at least 0.25 (1 - p / length) apart, and 0.35 / length more by an edit from p = 2 on.
+    """
+    few = length - 4 * length * bound - SLACK * length
+    p = np.where(few <= 1, np.ceil(few), np.maximum(2, np.ceil(few + 1.4)))
+    return np.clip(np.nan_to_num(p, neginf=0), 0, length).astype(int)
+
+
+def _common(a: str, b: str) -> int:
+    return len(os.path.commonprefix((a, b)))
+
+
+def nearest_others(q: pd.DataFrame, names: pd.DataFrame, scale: float = 1.0, rows: int = 512) -> pd.DataFrame:
+    """(x, w, y): for each row of q the nearest of names that is in another part, if within the bound; of equal distances
+    that of the lower pair of positions. Both have low, pos, part and v (null: by text alone), q has bound.
+
+    Every name is held against a bound below its distance first, by the letters that both begin with and those that
+    they have at all; what remains is measured, the most promising ones first. scale is the weight of the text.
+    """
+    names, q = names.sort_values(["low", "pos"]), q.reset_index(drop=True)
+    n, low = len(q), names["low"].tolist()
+    both = Names([*q["low"], *low])
+    pos, part = (np.concatenate([q[c].to_numpy(np.int64), names[c].to_numpy(np.int64)]) for c in ("pos", "part"))
+    v = _unit(np.array([*q["v"], *names["v"]], float)) if q["v"].notna().all() and names["v"].notna().all() else None
+    length, bags, bound = both.length[n:], both.bags[:, n:], q["bound"].to_numpy(float).copy()
+    beside = np.array([_common(x, y) for x, y in zip(low, low[1:])], np.float32)
+    own, best, y_best = part[n:], np.full(n, np.inf), np.full(n, -1)
+    weights: dict[int, tuple] = {}
+
+    def weight(la: int) -> tuple:
+        if la not in weights:
+            longest = np.maximum(la, length)
+            with np.errstate(divide="ignore"):
+                per = 0.4 / 3 * (1 / la + 1 / length) + 0.35 / longest if la else np.zeros(len(length))
+            weights[la] = np.where(length == 0, 0, per).astype(np.float32), (0.25 / np.maximum(longest, 1)).astype(np.float32)
+        return weights[la]
+
+    def measure(x: np.ndarray, y: np.ndarray) -> None:
+        """Distances of q's rows x with names' rows y into best."""
+        if not len(x):
+            return
+        a, b = x, y + n
+        first = pos[a] < pos[b]
+        i, j = np.where(first, a, b), np.where(first, b, a)
+        d = both.distances(i, j)
+        if v is not None:
+            d = scale * d + (1 - scale) * _cosines(v, i, j)
+        at = np.lexsort((pos[j], pos[i], d, x))
+        at = at[np.unique(x[at], return_index=True)[1]]
+        for k in at.tolist():
+            r, w, y_ = x[k], d[k], pos[b[k]]
+            if w <= bound[r] and (w < best[r] or w == best[r] and sorted((y_, pos[r])) < sorted((y_best[r], pos[r]))):
+                best[r], bound[r], y_best[r] = w, w, y_
+
+    place = np.array([bisect_left(low, x) for x in both.text[:n]], int)
+    for s in range(0, n, rows):
+        span = range(s, min(n, s + rows))
+        near = [(r, k) for r in span for k in range(max(0, place[r] - 3), min(len(low), place[r] + 4)) if own[k] != part[r]]
+        measure(*np.array(near, int).reshape(-1, 2).T)
+        least = least_prefix(both.length[s : span.stop], bound[s : span.stop] / scale)
+        found = []
+        for r, least_r in zip(span, least.tolist()):
+            x, i, la = both.text[r], int(place[r]), int(both.length[r])
+            lo, hi = 0, len(low)
+            if least_r:
+                key = x[:least_r]
+                lo, hi = (f(low, key, key=lambda t: t[:least_r]) for f in (bisect_left, bisect_right))  # noqa: B023
+            if lo >= hi:
+                continue
+            shared = np.empty(hi - lo, np.float32)
+            if i < hi:
+                shared[i - lo] = _common(x, low[i])
+                shared[i - lo + 1 :] = beside[i : hi - 1]
+                np.minimum.accumulate(shared[i - lo :], out=shared[i - lo :])
+            if i > lo:
+                left = shared[: i - lo][::-1]
+                left[0] = _common(x, low[i - 1])
+                left[1:] = beside[lo : i - 1][::-1]
+                np.minimum.accumulate(left, out=left)
+            a, b = both.bags[:, r, None], bags[:, lo:hi]
+            here, there = (np.bitwise_count(z).sum(axis=0, dtype=np.int32) for z in (a & ~b, b & ~a))
+            per, first = weight(la)
+            least_d = np.float32(1 - 0.4 / 3) - np.minimum(la - here, length[lo:hi] - there) * per[lo:hi] - shared * first[lo:hi]
+            k = np.flatnonzero((least_d <= bound[r] / scale + SLACK) & (own[lo:hi] != part[r]))
+            if len(k):
+                found.append((np.full(len(k), r), k + lo, least_d[k]))
+        if found:
+            x, y, d = (np.concatenate(z) for z in zip(*found))
+            at = np.lexsort((d, x))
+            x, y, d = x[at], y[at], d[at]
+            turn = np.arange(len(x)) - np.searchsorted(x, x)
+            measure(x[turn < 4], y[turn < 4])
+            rest = (turn >= 4) & (d <= bound[x] / scale + SLACK)
+            measure(x[rest], y[rest])
+    got = np.flatnonzero(y_best >= 0)
+    return pd.DataFrame({"x": pos[got], "w": best[got], "y": y_best[got]})
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(v, axis=1)
+    return v / np.where(size == 0, 1, size)[:, None]
+
+
+def _cosines(v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosine distances of unit vectors; 1 if one has no length."""
+    cos = np.clip(1 - np.einsum("pk,pk->p", v[i], v[j]), 0, 2)
+    none = ~v.any(axis=1)
+    cos[none[i] | none[j]] = 1
+    return cos
+
+
+def nearest_parts(pos: np.ndarray, w: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least position of each name's part, in the graph that joins each with its nearest (y, a position)."""
+    to = np.searchsorted(pos, y)
+    root = np.where(to[to] == np.arange(len(pos)), np.minimum(to, np.arange(len(pos))), to)  # a part has one pair of mutual nearest
+    while (root[root] != root).any():
+        root = root[root]
+    out = np.full(len(pos), np.iinfo(np.int64).max)
+    np.minimum.at(out, root, pos)
+    return out[root]
+
+
+def cluster_names(df: DataFrame, kind: str = "kind", text: str = "text", vector: str | None = "embedding", key: str = "id", limit: int = LIMIT, text_weight: float = 0.60) -> DataFrame:
     """(kind, block, key, text, cluster): density clusters inside each kind; -1 is noise. block is empty.
 
-    All names of a kind are compared with all: names are numbered by key and cut into blocks of `limit`, each pair of
-    blocks gives the edges of its own minimum spanning forest, and these together hold the tree of the kind. So `limit` is
-    the size of a piece of work and changes no result. A kind of which a name has no vector is compared by text alone; a
-    kind with one name has no cluster. The tree (at most one edge a name) is made into clusters by one task per kind.
+    The clusters are the leaves of the condensed tree of all names of the kind (density_clusters), by what decides them:
+
+    1. The first edge of a name leads to its nearest other name. These edges cut the kind into parts with one mutual pair
+       each; a part grows from that pair name by name, in the order of the edges, until it meets another part.
+    2. It meets another at its shortest edge out of it. Names that came before are its cluster, later ones are noise.
+
+    Both are searched exactly: names are numbered by letters and cut into blocks of `limit`; a name is sent to each block
+    that has names with as many letters in common as the distance already found demands. `limit` changes no result.
+    A kind of which a name has no vector is compared by text alone; a kind with one name or one part has no cluster.
+    Clusters are numbered by their first members. One task per kind joins the parts, of one edge a name.
     """
+    lower = F.pandas_udf(lambda s: s.str.lower(), "string")
     d = df.where(F.col(text).isNotNull()).select(F.col(kind).cast("string").alias("kind"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"), (F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")).alias("v"))
-    d = d.withColumn("g", F.coalesce(F.concat(F.lit("k"), "kind"), F.lit("")))
-    d = cut(d.withColumn("pos", F.row_number().over(Window.partitionBy("g").orderBy("id", "text")) - 1))
-    sizes = d.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("n"), F.bool_and(F.col("v").isNotNull()).alias("has_v"))
-    blocks = d.groupBy("g", F.floor(F.col("pos") / limit).cast("int").alias("b")).agg(F.array_sort(F.collect_list(F.struct("pos", "text", "v"))).alias("names"))
-    pairs = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("b2", F.explode(F.sequence("b", F.col("n") - 1)))
-    tasks = min(240, max(1, pairs.count()))
-    sides = [blocks.select("g", F.col("b").alias(x), F.col("names").alias(f"names_{x}")) for x in ("b", "b2")]
-    work = pairs.join(sides[0], ["g", "b"]).join(sides[1], ["g", "b2"]).repartition(tasks, F.xxhash64("g", "b", "b2"))
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
-        for f in frames:
-            for r in range(f.num_rows):
-                g, b, b2, has_v, *names = (f.column(c)[r].as_py() for c in ("g", "b", "b2", "has_v", "names_b", "names_b2"))
-                pos, texts, vs = ([[x[c] for x in n] for n in names] for c in ("pos", "text", "v"))
-                va, vb = (np.array(v, float) for v in vs) if has_v else (None, None)
-                m = distances(texts[0], texts[1], va, vb)
-                if b == b2:
-                    m = np.triu(m, 1)
-                    edges = shortest_edges(m + m.T, np.array(pos[0]))
-                else:
-                    edges = shortest_edges(m, np.array(pos[0]), np.array(pos[1]))
-                if edges:
-                    found.setdefault(g, []).append(pd.DataFrame(edges, columns=["w", "x", "y"]))
-        for g, parts in found.items():
-            e = pd.concat(parts)
-            e = e.iloc[spanning(*(e[c].to_numpy() for c in "wxy"))]
-            yield pa.RecordBatch.from_arrays([pa.array([g] * len(e)), pa.array(e["w"]), pa.array(e["x"], pa.int64()), pa.array(e["y"], pa.int64())], ["g", "w", "x", "y"])
+    d = d.withColumns({"g": F.coalesce(F.concat(F.lit("k"), "kind"), F.lit("")), "low": lower("text")})
+    d = d.withColumn("pos", (F.row_number().over(Window.partitionBy("g").orderBy("id", "text")) - 1).cast("long"))
+    d = cut(d.withColumn("b", F.floor((F.row_number().over(Window.partitionBy("g").orderBy("low", "pos")) - 1) / limit).cast("int")))
+    blocks = cut(d.groupBy("g", "b").agg(F.min("low").alias("begin"), F.max("low").alias("end")))
+    tasks = min(240, max(1, 4 * blocks.count()))
+    names = d.select("g", "b", "pos", "low", "v")
+    if vector:
+        whole = d.groupBy("g").agg(F.bool_and(F.col("v").isNotNull()).alias("has_v"))
+        names = names.join(whole, "g").withColumn("v", F.when(F.col("has_v"), F.col("v"))).drop("has_v")
+    scale = text_weight if vector else 1.0  # names without vectors: a bound below is still one
+    edge = "g string, x long, w double, y long"
+
+    def dealt(x: DataFrame) -> DataFrame:
+        return x.toDF(*x.columns).repartition(tasks, "g", "b")  # columns of its own, as sides of a cogroup
+
+    def inside(p: pd.DataFrame) -> pd.DataFrame:
+        out = nearest_others(p.assign(part=p["pos"], bound=np.inf), p.assign(part=p["pos"]), scale)
+        return p[["g", "b", "pos", "low", "v"]].merge(out.rename(columns={"x": "pos"}), "left", "pos")
+
+    def across(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        out = nearest_others(q, p, scale) if len(q) and len(p) else pd.DataFrame({"x": [], "w": [], "y": []})
+        return out.assign(g=q["g"].iloc[0] if len(q) else "")[["g", "x", "w", "y"]]
+
+    def sent(q: DataFrame, own: bool) -> DataFrame:
+        """Rows of q for each block (b; home is that of the name) that may have a name within the bound."""
+        least = F.pandas_udf(lambda n, w: pd.Series(least_prefix(n.to_numpy(), w.to_numpy(float) / scale)), "int")(F.length("low"), "bound")
+        q = q.withColumn("n", least).withColumn("prefix", F.left("low", F.col("n")))
+        to = F.broadcast(blocks.select(F.col("g").alias("g2"), F.col("b").alias("b2"), "begin", "end"))  # a row for each `limit` names
+        meets = (F.col("g") == F.col("g2")) & (F.left("begin", F.col("n")) <= F.col("prefix")) & (F.left("end", F.col("n")) >= F.col("prefix"))
+        out = q.join(to, meets if own else meets & (F.col("b") != F.col("b2")))
+        return out.select("g", F.col("b2").alias("b"), "pos", "low", "v", "part", "bound")
+
+    def together(g: DataFrame, *more: str) -> DataFrame:
+        """The least edge of each name (or part) in the order of length, then ends."""
+        order = F.struct("w", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
+        return g.groupBy("g", *more).agg(F.min_by(F.struct("w", "x", "y"), order).alias("e")).select("g", *more, "e.*")
+
+    def parts(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("pos").reset_index(drop=True)
+        if len(p) < 2:
+            return p.assign(part=p["pos"], bound=np.nan)
+        p["part"] = nearest_parts(*(p[c].to_numpy() for c in ("pos", "w")), p["y"].to_numpy(np.int64))
+        size, bound = (p.groupby("part")["w"].transform(f) for f in ("size", "max"))
+        return p.assign(bound=bound.where(size > 2))
 
     def label(p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("pos").reset_index(drop=True)
-        e = e.iloc[spanning(*(e[c].to_numpy() for c in "wxy"))] if len(e) else e
-        return pd.DataFrame({"kind": p["kind"], "block": "", "id": p["id"], "text": p["text"], "cluster": tree_labels(len(p), list(zip(e["w"], e["x"], e["y"])))})
-
-    edges = work.select("g", "b", "b2", "has_v", "names_b", "names_b2").mapInArrow(run, "g string, w double, x long, y long")
-    return d.drop("v").groupBy("g").cogroup(edges.groupBy("g")).applyInPandas(label, "kind string, block string, id long, text string, cluster int")
+        out = np.full(len(p), -1)
+        if p["part"].nunique() > 1:
+            p = p.merge(e[["part", "w", "x", "y"]].rename(columns={"w": "w2", "x": "x2", "y": "y2"}), "left", "part")
+            mine, ends = ([p[w], np.minimum(p[x], p[y]), np.maximum(p[x], p[y])] for w, x, y in (("w", "pos", "y"), ("w2", "x2", "y2")))
+            before = mine[0] < ends[0]
+            before |= (mine[0] == ends[0]) & ((mine[1] < ends[1]) | (mine[1] == ends[1]) & (mine[2] < ends[2]))
+            kept = (p["w2"].isna() | before).to_numpy()
+            out[kept] = pd.factorize(p["part"][kept])[0]
+        return pd.DataFrame({"g": p["g"], "pos": p["pos"], "cluster": out})
+
+    near = cut(dealt(names).groupBy("g", "b").applyInPandas(inside, "g string, b int, pos long, low string, v array<double>, w double, y long"))
+    q = near.withColumns({"part": F.col("pos"), "bound": F.coalesce("w", F.lit(float("inf")))})
+    at_home = near.where("y is not null").select("g", F.col("pos").alias("x"), "w", "y")
+    abroad = dealt(sent(q, False)).groupBy("g", "b").cogroup(dealt(names.withColumn("part", F.col("pos"))).groupBy("g", "b")).applyInPandas(across, edge)
+    first = at_home.unionByName(abroad)
+    first = together(first.withColumn("pos", F.col("x")), "pos").drop("x")
+    placed = near.drop("w", "y").join(first, ["g", "pos"], "left")
+    placed = cut(placed.groupBy("g").applyInPandas(parts, "g string, b int, pos long, low string, v array<double>, w double, y long, part long, bound double"))
+    out = dealt(sent(placed.where("bound is not null and not isnan(bound)"), True)).groupBy("g", "b").cogroup(dealt(placed).groupBy("g", "b")).applyInPandas(across, edge)
+    out = together(out.join(placed.select("g", F.col("pos").alias("x"), "part"), ["g", "x"]), "part")
+    labels = placed.select("g", "pos", "part", "w", "y").groupBy("g").cogroup(out.groupBy("g")).applyInPandas(label, "g string, pos long, cluster int")
+    return d.join(labels, ["g", "pos"]).select("kind", F.lit("").alias("block"), "id", "text", "cluster")
 
 
 def payload(clusters: DataFrame, names: DataFrame | None = None) -> DataFrame:
