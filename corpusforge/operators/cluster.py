@@ -281,8 +281,9 @@ def _common(a: str, b: str) -> int:
 
 
 def nearest_others(q: pd.DataFrame, names: pd.DataFrame, scale: float = 1.0, rows: int = 512) -> pd.DataFrame:
-    """(x, w, y): for each row of q the nearest of names that is in another part, if within the bound; of equal distances
-    that of the lower pair of positions. Both have low, pos, part and v (null: by text alone), q has bound.
+    """(x, w, y): edges from rows of q to names in other parts, within the bound; among them is the least of each part of q,
+    of equal distances that of the lower pair of positions. Both have low, pos, part and v (null: by text alone), q has
+    bound and least, below which no edge of the row is.
 
     Every name is held against a bound below its distance first, by the letters that both begin with and those that
     they have at all; what remains is measured, the most promising ones first. scale is the weight of the text.
@@ -294,7 +295,9 @@ def nearest_others(q: pd.DataFrame, names: pd.DataFrame, scale: float = 1.0, row
     v = _unit(np.array([*q["v"], *names["v"]], float)) if q["v"].notna().all() and names["v"].notna().all() else None
     length, bags, bound = both.length[n:], both.bags[:, n:], q["bound"].to_numpy(float).copy()
     beside = np.array([_common(x, y) for x, y in zip(low, low[1:])], np.float32)
-    own, best, y_best = part[n:], np.full(n, np.inf), np.full(n, -1)
+    own, best, y_best, floor = part[n:], np.full(n, np.inf), np.full(n, -1), q["least"].to_numpy(float)
+    _, code = np.unique(part[:n], return_inverse=True)
+    shared_bound = np.full(int(code.max(initial=-1)) + 1, np.inf)
     weights: dict[int, tuple] = {}
 
     def weight(la: int) -> tuple:
@@ -321,6 +324,8 @@ def nearest_others(q: pd.DataFrame, names: pd.DataFrame, scale: float = 1.0, row
             r, w, y_ = x[k], d[k], pos[b[k]]
             if w <= bound[r] and (w < best[r] or w == best[r] and sorted((y_, pos[r])) < sorted((y_best[r], pos[r]))):
                 best[r], bound[r], y_best[r] = w, w, y_
+        np.minimum.at(shared_bound, code, bound)
+        bound[:] = shared_bound[code]
 
     place = np.array([bisect_left(low, x) for x in both.text[:n]], int)
     for s in range(0, n, rows):
@@ -330,6 +335,8 @@ def nearest_others(q: pd.DataFrame, names: pd.DataFrame, scale: float = 1.0, row
         least = least_prefix(both.length[s : span.stop], bound[s : span.stop] / scale)
         found = []
         for r, least_r in zip(span, least.tolist()):
+            if floor[r] > bound[r]:
+                continue
             x, i, la = both.text[r], int(place[r]), int(both.length[r])
             lo, hi = 0, len(low)
             if least_r:
@@ -422,21 +429,26 @@ def cluster_names(df: DataFrame, kind: str = "kind", text: str = "text", vector:
         return x.toDF(*x.columns).repartition(tasks, "g", "b")  # columns of its own, as sides of a cogroup
 
     def inside(p: pd.DataFrame) -> pd.DataFrame:
-        out = nearest_others(p.assign(part=p["pos"], bound=np.inf), p.assign(part=p["pos"]), scale)
+        out = nearest_others(p.assign(part=p["pos"], bound=np.inf, least=0.0), p.assign(part=p["pos"]), scale)
         return p[["g", "b", "pos", "low", "v"]].merge(out.rename(columns={"x": "pos"}), "left", "pos")
 
     def across(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = nearest_others(q, p, scale) if len(q) and len(p) else pd.DataFrame({"x": [], "w": [], "y": []})
         return out.assign(g=q["g"].iloc[0] if len(q) else "")[["g", "x", "w", "y"]]
 
-    def sent(q: DataFrame, own: bool) -> DataFrame:
-        """Rows of q for each block (b; home is that of the name) that may have a name within the bound."""
+    def closing(p: pd.DataFrame) -> pd.DataFrame:
+        q = p[p["bound"].notna()]
+        out = nearest_others(q.assign(least=q["w"]), p, scale) if len(q) else pd.DataFrame({"x": [], "w": [], "y": []})
+        return out.merge(q[["pos", "part"]], left_on="x", right_on="pos").assign(g=p["g"].iloc[0])[["g", "part", "x", "w", "y"]]
+
+    def sent(q: DataFrame) -> DataFrame:
+        """Rows of q for each other block that may have a name within the bound."""
         least = F.pandas_udf(lambda n, w: pd.Series(least_prefix(n.to_numpy(), w.to_numpy(float) / scale)), "int")(F.length("low"), "bound")
         q = q.withColumn("n", least).withColumn("prefix", F.left("low", F.col("n")))
         to = F.broadcast(blocks.select(F.col("g").alias("g2"), F.col("b").alias("b2"), "begin", "end"))  # a row for each `limit` names
         meets = (F.col("g") == F.col("g2")) & (F.left("begin", F.col("n")) <= F.col("prefix")) & (F.left("end", F.col("n")) >= F.col("prefix"))
-        out = q.join(to, meets if own else meets & (F.col("b") != F.col("b2")))
-        return out.select("g", F.col("b2").alias("b"), "pos", "low", "v", "part", "bound")
+        out = q.join(to, meets & (F.col("b") != F.col("b2")))
+        return out.select("g", F.col("b2").alias("b"), "pos", "low", "v", "part", "bound", "least")
 
     def together(g: DataFrame, *more: str) -> DataFrame:
         """The least edge of each name (or part) in the order of length, then ends."""
@@ -464,15 +476,21 @@ def cluster_names(df: DataFrame, kind: str = "kind", text: str = "text", vector:
         return pd.DataFrame({"g": p["g"], "pos": p["pos"], "cluster": out})
 
     near = cut(dealt(names).groupBy("g", "b").applyInPandas(inside, "g string, b int, pos long, low string, v array<double>, w double, y long"))
-    q = near.withColumns({"part": F.col("pos"), "bound": F.coalesce("w", F.lit(float("inf")))})
+    q = near.withColumns({"part": F.col("pos"), "bound": F.coalesce("w", F.lit(float("inf"))), "least": F.lit(0.0)})
     at_home = near.where("y is not null").select("g", F.col("pos").alias("x"), "w", "y")
-    abroad = dealt(sent(q, False)).groupBy("g", "b").cogroup(dealt(names.withColumn("part", F.col("pos"))).groupBy("g", "b")).applyInPandas(across, edge)
+    abroad = dealt(sent(q)).groupBy("g", "b").cogroup(dealt(names.withColumn("part", F.col("pos"))).groupBy("g", "b")).applyInPandas(across, edge)
     first = at_home.unionByName(abroad)
     first = together(first.withColumn("pos", F.col("x")), "pos").drop("x")
     placed = near.drop("w", "y").join(first, ["g", "pos"], "left")
     placed = cut(placed.groupBy("g").applyInPandas(parts, "g string, b int, pos long, low string, v array<double>, w double, y long, part long, bound double"))
-    out = dealt(sent(placed.where("bound is not null and not isnan(bound)"), True)).groupBy("g", "b").cogroup(dealt(placed).groupBy("g", "b")).applyInPandas(across, edge)
-    out = together(out.join(placed.select("g", F.col("pos").alias("x"), "part"), ["g", "x"]), "part")
+    home = together(dealt(placed.select("g", "b", "pos", "low", "v", "w", "part", "bound")).groupBy("g", "b").applyInPandas(closing, "g string, part long, x long, w double, y long"), "part")
+    home = cut(home)
+    # an edge of a name is not below its first, so only names with one within what is found so far are sent on
+    q = placed.where("bound is not null and not isnan(bound)").join(home.select("g", "part", F.col("w").alias("found")), ["g", "part"], "left")
+    q = q.withColumns({"bound": F.least("bound", "found"), "least": F.col("w")}).where("least <= bound")
+    away = dealt(sent(q)).groupBy("g", "b").cogroup(dealt(placed).groupBy("g", "b")).applyInPandas(across, edge)
+    away = away.join(placed.select("g", F.col("pos").alias("x"), "part"), ["g", "x"]).select("g", "part", "x", "w", "y")
+    out = together(home.unionByName(away), "part")
     labels = placed.select("g", "pos", "part", "w", "y").groupBy("g").cogroup(out.groupBy("g")).applyInPandas(label, "g string, pos long, cluster int")
     return d.join(labels, ["g", "pos"]).select("kind", F.lit("").alias("block"), "id", "text", "cluster")
 

@@ -54,7 +54,7 @@ def test_clusters_equal_those_of_the_whole_tree(spark):
 def test_a_name_is_measured_with_few_others(monkeypatch):
     rng = np.random.default_rng(3)
     texts = sorted({"".join(rng.choice(["grím", "þor", "ey", "hall", "sig", "björn", "steinn", "geirr", "gautr", " "]) for _ in range(5)) for _ in range(1_000)})
-    p = pd.DataFrame({"low": texts, "pos": range(len(texts)), "part": range(len(texts)), "v": None, "bound": np.inf})
+    p = pd.DataFrame({"low": texts, "pos": range(len(texts)), "part": range(len(texts)), "v": None, "bound": np.inf, "least": 0.0})
     pairs, measure = [], cluster.Names.distances
     monkeypatch.setattr(cluster.Names, "distances", lambda self, i, j: pairs.append(len(i)) or measure(self, i, j))
     got = cluster.nearest_others(p, p).set_index("x")
