@@ -119,38 +119,55 @@ DIPLOMATIC = {
 NORMALISED_SETS = {"baseline_mim": ("old", "mim"), "baseline_mim_resamp": ("old_r", "mim"), "old_ice_only": ("old",), "old_ice_resamp": ("old_r",)}
 
 
+def sentence_types(tokens: DataFrame, keys: list[str], *least: str) -> DataFrame:
+    """One row per sentence: keys, tokens, has_person, has_location, its type_counts as an array `types` of (type, c), and the
+    least value of the columns `least`.
+
+    Tokens that are partitioned by keys are not moved again.
+    """
+    has = lambda x: F.coalesce(F.bool_or(F.col("label").rlike(f"^.-{x}$")), F.lit(False))
+    low = [F.min(c).alias(c) for c in least]
+    c = type_counts(tokens, keys, has("Person").alias("has_person"), has("Location").alias("has_location"), *low)
+    kinds = [F.bool_or(x).alias(x) for x in ("has_person", "has_location")]
+    return c.groupBy(*keys).agg(F.sum("c").alias("tokens"), *kinds, F.collect_list(F.struct("type", "c")).alias("types"), *low)
+
+
 def experiment_sets(tokens: DataFrame, target: str, others: list[str], table: dict[str, tuple[str, ...]], name: str | None = None, method: str = "sCR", seed: int = 42) -> DataFrame:
+    """As sentence_sets, from tokens with sent_id, part and label."""
+    return sentence_sets(sentence_types(tokens.where(F.col("part").isin(target, *others)), ["part", "sent_id"]), target, others, table, name, method, seed)
+
+
+def sentence_sets(sents: DataFrame, target: str, others: list[str], table: dict[str, tuple[str, ...]], name: str | None = None, method: str = "sCR", seed: int = 42) -> DataFrame:
     """(experiment, split, part, sent_id, copy, tokens): every sentence of the training sets of all experiments, and under the
     experiment `shared` those of their dev and test.
 
-    tokens has sent_id, part and label. The part `target` (in the table under `name`) is split by strata; its training part
-    alone gives the rareness and is replicated. Other parts go in whole; experiments of a part without rows are left out.
+    sents has part and the columns of sentence_types. The part `target` (in the table under `name`) is split by strata; its
+    training part alone gives the rareness and is replicated. Other parts go in whole; experiments of a part without rows are
+    left out.
 
-    Tokens are counted once per sentence and type and sentences are split once; a row is then repeated for the experiments
-    that use it, so the plan does not grow with their number.
+    Sentences carry their counts of types and are split once; a row is then repeated for the experiments that use it, so the
+    plan does not grow with their number.
     """
     name = name or target
-    has = lambda x: F.coalesce(F.bool_or(F.col("label").rlike(f"^.-{x}$")), F.lit(False))
-    counts = cut(type_counts(tokens.where(F.col("part").isin(target, *others)), ["part", "sent_id"], has("Person").alias("has_person"), has("Location").alias("has_location")))
-    there = {name, f"{name}_r", *(r["part"] for r in counts.where(F.col("part").isin(*others)).select("part").distinct().collect())}
+    sents = cut(sents.where(F.col("part").isin(target, *others)).select("part", "sent_id", "tokens", "has_person", "has_location", "types"))
+    there = {name, f"{name}_r", *(r["part"] for r in sents.where(F.col("part").isin(*others)).select("part").distinct().collect())}
     table = {e: uses for e, uses in table.items() if there.issuperset(uses)}
     if not table:
         raise ValueError("no experiment has all its parts")
-    own = counts.where(F.col("part") == target).drop("part")
-    sents = own.groupBy("sent_id").agg(F.bool_or("has_person").alias("has_person"), F.bool_or("has_location").alias("has_location"), F.sum("c").alias("tokens"))
-    split = cut(stratified_split(sents, ["sent_id"], seed=seed).select("sent_id", "split", "tokens"))
+    own = sents.where(F.col("part") == target).drop("part")
+    split = cut(stratified_split(own, ["sent_id"], seed=seed).select("sent_id", "split", "tokens", "types"))
     train = split.where("split = 'train'")
-    kept = own.join(train.select("sent_id"), "sent_id", "left_semi")
-    total = kept.agg(F.sum("c").alias("total"))
-    rare = kept.where("type is not null").groupBy("type").agg(F.sum("c").alias("n")).join(F.broadcast(total)).select("type", rareness(F.col("n"), F.col("total")).alias("rareness"))  # one row
+    counts = train.select("sent_id", F.inline("types"))
+    total = train.agg(F.sum("tokens").alias("total"))
+    rare = counts.where("type is not null").groupBy("type").agg(F.sum("c").alias("n")).join(F.broadcast(total)).select("type", rareness(F.col("n"), F.col("total")).alias("rareness"))  # one row
     one = F.lit(1).cast("long")
 
     def used(df: DataFrame, part: Column, parts: list[str]) -> DataFrame:
         by_part = [(F.lit(p), F.array(*[F.lit(e) for e, uses in table.items() for u in uses if u == p]).cast("array<string>")) for p in parts]
         return df.withColumn("part", part).withColumn("experiment", F.explode(F.create_map(*[x for pair in by_part for x in pair])[F.col("part")]))
 
-    whole = counts.where(F.col("part").isin(*others)).groupBy("part", "sent_id").agg(F.sum("c").alias("tokens")).withColumns({"split": F.lit("train"), "copy": one})
-    copies = replicate(train, counted_factors(kept, rare, ["sent_id"], method), ["sent_id"])
+    whole = sents.where(F.col("part").isin(*others)).withColumns({"split": F.lit("train"), "copy": one})
+    copies = counted_factors(counts, rare, ["sent_id"], method).select("sent_id", F.lit("train").alias("split"), F.col("n").alias("tokens"), F.explode(F.sequence(one, F.col("factor"))).alias("copy"))
     sets = [used(train.withColumn("copy", one), F.lit(name), [name]), used(copies, F.lit(f"{name}_r"), [f"{name}_r"])]
     sets += [used(whole, F.col("part"), list(others))] if others else []
     sets += [split.where("split <> 'train'").withColumns({"experiment": F.lit("shared"), "part": F.lit(name), "copy": one})]

@@ -271,24 +271,24 @@ def experiment_matrix_normalised(spark: SparkSession, d: str) -> DataFrame:
     return _experiment_sizes(spark, d, splits.NORMALISED)
 
 
-def _part_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens with the part of their sentence; a sentence is in one part, that of its least source."""
+def _part_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences with their types and part; a sentence is in one part, that of its least source. Tokens move once, by sentence."""
     w = table(spark, d, "works").groupBy("source").agg(F.min("text_rep_level").alias("lev"))
-    t = _tokens(spark, d)
+    t = table(spark, d, "conll_tokens").where("sent_id is not null").select("sent_id", "tok_id", "label", "source").repartition("sent_id")
+    t = t.groupBy("sent_id", "tok_id").agg(F.min("label").alias("label"), F.min("source").alias("source"))  # each place once
     part = F.when(F.col("lev") == "dipl", "diplo").when(F.col("lev") == "norm", "norm").otherwise("mim")
-    s = t.groupBy("sent_id").agg(F.min("source").alias("source")).join(w, "source", "left").select("sent_id", part.alias("part"))
-    return t.select("sent_id", "label").join(s, "sent_id")
+    return splits.sentence_types(t, ["sent_id"], "source").join(w, "source", "left").withColumn("part", part)
 
 
 # The two above keep the sizes of their SQL (given splits, rareness of all tokens); these make the sets of R9 and R10.
 @query()
 def experiment_sets_diplomatic(spark: SparkSession, d: str) -> DataFrame:
-    return splits.experiment_sets(_part_tokens(spark, d), "diplo", ["norm", "mim"], splits.DIPLOMATIC)
+    return splits.sentence_sets(_part_sentences(spark, d), "diplo", ["norm", "mim"], splits.DIPLOMATIC)
 
 
 @query()
 def experiment_sets_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return splits.experiment_sets(_part_tokens(spark, d), "norm", ["mim"], splits.NORMALISED_SETS, "old")
+    return splits.sentence_sets(_part_sentences(spark, d), "norm", ["mim"], splits.NORMALISED_SETS, "old")
 
 
 _KEY = strip(f"regexp_replace(lower(text), '{WS}+', ' ', 'g')")

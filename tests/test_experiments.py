@@ -36,3 +36,27 @@ def test_training_never_meets_dev_and_test(spark, sf_dir, name):
 def test_plan_of_the_sets_stays_small(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\n") < 150
+
+
+@pytest.mark.parametrize("name", ["experiment_sets_diplomatic", "experiment_sets_normalised"])
+def test_tokens_of_the_sets_move_once(spark, sf_dir, monkeypatch, name):
+    plans, cut = [], splits.cut
+
+    def noted(df):
+        plans.append([x.toString() for x in (df._jdf.queryExecution().optimizedPlan(), df._jdf.queryExecution().executedPlan())])
+        return cut(df)
+
+    monkeypatch.setattr(splits, "cut", noted)
+    catalog.QUERIES[name](spark, sf_dir)
+    assert plans[0][0].count("Relation [") == 2  # tokens and works, each read once
+    assert plans[0][1].count("Exchange hashpartitioning(sent_id#") == 1
+
+
+def test_places_delivered_twice_count_once(spark, tmp_path):
+    rows = [(i, k, "w", label, source, "train") for i, source in ((1, "n"), (2, "n"), (3, "gone"), (4, "d")) for k, label in ((1, "O"), (2, "B-Person"), (3, None), (3, "B-Location"))]
+    rows += [(1, 1, "w", "O", "n", "train"), (None, 1, "w", "O", "n", "train")]
+    spark.createDataFrame(rows, "sent_id long, tok_id int, token string, label string, source string, split string").coalesce(1).write.parquet(f"{tmp_path}/conll_tokens.parquet")
+    spark.createDataFrame([("n", "norm"), ("n", "norm"), ("d", "dipl")], "source string, text_rep_level string").write.parquet(f"{tmp_path}/works.parquet")
+    got = catalog.QUERIES["experiment_sets_normalised"](spark, str(tmp_path)).collect()
+    assert {(r["sent_id"], r["part"], r["tokens"]) for r in got if r["copy"] == 1 and not r["part"].endswith("_r")} == {(1, "old", 3), (2, "old", 3), (3, "mim", 3)}
+    assert sum(r["experiment"] == "shared" for r in got) == 1  # half of the two with a location
