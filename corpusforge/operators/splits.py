@@ -27,15 +27,17 @@ def seeded_rank(df: DataFrame, group: list[str], keys: list[str], seed: int = 42
     return salted_rank(d, group, F.shiftleft(key, 3), ["_h", *keys], name).drop("_h")
 
 
-def three_way(df: DataFrame, group: list[str], keys: list[str], n_dev, n_test, seed: int = 42, first: str = "dev") -> DataFrame:
+def three_way(df: DataFrame, group: list[str], keys: list[str], n_dev, n_test, seed: int = 42, first: str = "dev", few: bool = False) -> DataFrame:
     """Add `split`: rank below n_dev (of n rows in the group) is dev, the next n_test are test, the rest train.
 
     n_dev and n_test are functions of the column n. first = "test" gives test the lower ranks.
+    With `few` groups their sizes are sent to every task, so that rows do not move to meet them.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(*[F.col(c).alias(f"_s_{c}") for c in group], "_n")
     cond = [df[c].eqNullSafe(sizes[f"_s_{c}"]) for c in group]
-    sized = df.join(sizes, cond) if group else df.join(F.broadcast(sizes))  # without groups it is one row
+    sizes = F.broadcast(sizes) if few or not group else sizes  # without groups it is one row
+    sized = df.join(sizes, cond) if group else df.join(sizes)
     r = seeded_rank(sized.drop(*[f"_s_{c}" for c in group]), group, keys, seed, "_r")
     d, t = n_dev(F.col("_n")), n_test(F.col("_n"))
     a, b, na, nb = (("test", "dev", t, d) if first == "test" else ("dev", "test", d, t))
@@ -53,7 +55,7 @@ def ratio_split(df: DataFrame, keys: list[str], train: float = 0.7, dev: float =
     return three_way(df, [], keys, lambda n: F.floor(n * dev / total), lambda n: F.floor(n * test / total), seed)
 
 
-def stratified_split(sents: DataFrame, keys: list[str], person: str = "has_person", location: str = "has_location", seed: int = 42, eval_share: float = 0.5) -> DataFrame:
+def stratified_split(sents: DataFrame, keys: list[str], person: str = "has_person", location: str = "has_location", seed: int = 42, eval_share: float = 0.5, few: bool = False) -> DataFrame:
     """Split by strata (both, location only, person only, neither): of sentences with a location half go to dev and test
     in equal parts (dev rounded down), of the others 15 % each."""
     s = sents.withColumn("stratum", F.when(F.col(person) & F.col(location), "both").when(F.col(location), "location").when(F.col(person), "person").otherwise("neither"))
@@ -61,7 +63,7 @@ def stratified_split(sents: DataFrame, keys: list[str], person: str = "has_perso
     half = lambda n: F.floor(n * eval_share)
     dev = lambda n: F.when(loc, F.floor(half(n) / 2)).otherwise(F.floor(n * 0.15))
     test = lambda n: F.when(loc, half(n) - F.floor(half(n) / 2)).otherwise(F.floor(n * 0.15))
-    return three_way(s, ["stratum"], keys, dev, test, seed)
+    return three_way(s, ["stratum"], keys, dev, test, seed, few=few)
 
 
 def split_balance(split: DataFrame, location: str = "has_location") -> DataFrame:
@@ -155,7 +157,7 @@ def sentence_sets(sents: DataFrame, target: str, others: list[str], table: dict[
     if not table:
         raise ValueError("no experiment has all its parts")
     own = sents.where(F.col("part") == target).drop("part")
-    split = cut(stratified_split(own, ["sent_id"], seed=seed).select("sent_id", "split", "tokens", "types"))
+    split = cut(stratified_split(own, ["sent_id"], seed=seed, few=True).select("sent_id", "split", "tokens", "types"))
     train = split.where("split = 'train'")
     counts = train.select("sent_id", F.inline("types"))
     total = train.agg(F.sum("tokens").alias("total"))
